@@ -53,15 +53,16 @@ def _sliding_min(a: np.ndarray, k: int) -> np.ndarray:
 def chosen_windows(codes: np.ndarray, gram: int, look: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the windows of ``gram`` code points that are smallest among ``look`` neighbours.
 
-    The hash is the polynomial one, modulo 2**64: prefix sums of code * base**i give every window's in one go.
+    The hash is the polynomial one, modulo 2**64: prefix sums of code * base**i give every window's in one go,
+    and the inverse of the (odd) base takes the window's place out of it.
     """
     if len(codes) < gram + look - 1:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    powers = _powers(_BASE, len(codes) + 1)
+    powers = _powers(_BASE, len(codes))
     prefix = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=prefix[1:])
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers, out=prefix[1:])
     starts = len(codes) - gram + 1
-    value = (prefix[gram:] - prefix[:-gram]) * powers[len(codes) - np.arange(starts)]
+    value = (prefix[gram:] - prefix[:-gram]) * _powers(pow(_BASE, -1, 2**64), starts)
     value ^= value >> np.uint64(31)  # the low bits of such sums are weak
     value *= np.uint64(0xBF58476D1CE4E5B9)
     bits = np.uint64(max(1, int(starts).bit_length()))
