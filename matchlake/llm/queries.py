@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import leaks, names, packing, spans
+from matchlake.llm import leaks, linkage, names, packing, spans
 from matchlake.session import table
 
 
@@ -36,6 +36,20 @@ def p2_persons(spark: SparkSession, sf: str) -> DataFrame:
     return linked.join(sizes, "person").select(F.col("id").alias("player_row_id"), "first_row_id", "person_rows")
 
 
+def p4_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates with their identity and the confidence of the match."""
+    candidates, identities = table(spark, sf, "player_candidate"), table(spark, sf, "player_identity")
+    left = candidates.select(F.col("candidate_id").alias("id"), F.array_compact(F.array("original_name")).alias("names"), "country", "birth_date")
+    spelled = F.array_compact(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    right = identities.select("id", spelled.alias("names"), "country", "birth_date")
+    found = linkage.match(left, right)
+    return found.select(F.col("left_id").cast("bigint").alias("candidate_id"), F.col("right_id").alias("identity_id"), "confidence")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_matches(spark, sf).select("candidate_id", "identity_id")
+
+
 def p7_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Sequence and position of every document."""
     return packing.pack(packing.token_counts(table(spark, sf, "documents")))
@@ -69,5 +83,5 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_share(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_persons, p7_sequences, p7_fill, p8_found, p8_by_item, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_persons, p4_found, p4_matches, p7_sequences, p7_fill, p8_found, p8_by_item, p9_found, p9_shared)}
 ORACLE: dict[str, str] = {}
