@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, but as a compressed columnar table in the shared folder; for many or wide rows.
+
+    The table is removed when the driver's program ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    _TABLES.append((spark, path))
+    return spark.read.schema(schema).parquet(path)
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_tables() -> None:
+    for spark, path in _TABLES:
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone: so is the means to remove anything
+            return
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
