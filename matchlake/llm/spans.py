@@ -6,8 +6,10 @@ intervals. The token is the code point, so the measure is the one asked for: cha
 Counting every window of 300 characters would shuffle as many rows as the corpus has characters. So it goes in
 two passes that together lose nothing. The first hashes every window of GRAM characters and counts only the
 locally smallest ones (winnowing): any common span of SPAN characters holds, at the same place in both records, a
-chosen window, as SPAN = GRAM + (number of windows looked over) - 1. That leaves about one row in 50. The second
-pass takes every SPAN window around the repeated ones only, and counts those in full.
+chosen window, as SPAN = GRAM + (number of windows looked over) - 1. That leaves about one row in 75. The second
+pass takes every SPAN window around the repeated ones only, and counts those in full. To find who shares, it takes
+them only around the places where a common span can begin: a repeated window that follows the same chosen window at
+the same distance in every record that has it is inside a span that was met before.
 
 Records with equal texts are represented by the first of them and joined back at the end.
 """
@@ -22,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.session import broadcast_if_small, cut_lineage
+from matchlake.session import broadcast_if_small, cut_lineage, written
 
 SPAN = 300
-GRAM = 200
+GRAM = 150
 #: Candidate records whose places go to every task; beyond this the texts are joined by a shuffle.
 BROADCAST_RECORDS = 100_000
 _BASE = 0x9E3779B97F4A7C15
@@ -73,7 +75,7 @@ def chosen_windows(codes: np.ndarray, gram: int, look: int) -> tuple[np.ndarray,
 
 def _fingerprint(batches: Iterator[pd.DataFrame], gram: int, look: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        ids, at, values = [], [], []
+        ids, at, values, links = [], [], [], []
         for doc, text in zip(batch["doc_id"].to_numpy(), batch["text"]):
             # A text longer than a chunk goes in pieces that overlap by a whole span less one, so no window is lost.
             step = _CHUNK
@@ -84,8 +86,14 @@ def _fingerprint(batches: Iterator[pd.DataFrame], gram: int, look: int) -> Itera
                     ids.append(np.full(len(start), doc))
                     at.append(start + begin)
                     values.append(value)
+                    # What is chosen before it and how far away, as one hash; none for the first of a piece and where
+                    # the two windows leave a gap, so that the text between them is not vouched for.
+                    link = np.zeros(len(start), dtype=np.uint64)
+                    link[1:] = (value[:-1] ^ (np.diff(start).astype(np.uint64) * np.uint64(_BASE))) | np.uint64(1)
+                    link[1:][np.diff(start) > gram] = 0
+                    links.append(link)
         if ids:
-            yield pd.DataFrame({"doc_id": np.concatenate(ids), "at": np.concatenate(at), "gram": np.concatenate(values).view(np.int64)})
+            yield pd.DataFrame({"doc_id": np.concatenate(ids), "at": np.concatenate(at), "gram": np.concatenate(values).view(np.int64), "link": np.concatenate(links).view(np.int64)})
 
 
 def _windows(batches: Iterator[pd.DataFrame], span: int, gram: int) -> Iterator[pd.DataFrame]:
@@ -116,27 +124,31 @@ def classes(docs: DataFrame) -> DataFrame:
     return keyed.join(first, "__text").select("doc_id", "class_id", "chars")
 
 
-def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, at, high, low, before) of each span window that stands in at least two class representatives.
+def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, heads: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(windows, members): each span window that stands in at least two class representatives, and the classes.
 
+    windows: doc_id, at, high, low, before; with ``heads`` only those around places where a common span of two records
+    can begin. members: doc_id, class_id, chars of all records that have anything in common with another.
     ``docs``: doc_id BIGINT and text; null ids and texts are left out, and of rows that repeat an id one counts.
     """
     if not 0 < gram <= span:
         raise ValueError("gram must be between 1 and span")
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= span))
     look = span - gram + 1
-    prints = docs.mapInPandas(lambda batches: _fingerprint(batches, gram, look), "doc_id bigint, at bigint, gram bigint")
-    prints = cut_lineage(prints)
+    prints = written(docs.mapInPandas(lambda batches: _fingerprint(batches, gram, look), "doc_id bigint, at bigint, gram bigint, link bigint"))
     shared = prints.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
-    places = prints.join(shared, "gram").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    members = classes(docs.join(broadcast_if_small(places.select("doc_id"), BROADCAST_RECORDS), "doc_id", "left_semi"))
-    leaders = members.where("doc_id = class_id").select("doc_id")
-    places = cut_lineage(places.join(leaders, "doc_id", "left_semi"))
+    found = written(prints.join(shared, "gram"))
+    candidates = found.select("doc_id").distinct()
+    members = cut_lineage(classes(docs.join(broadcast_if_small(candidates, BROADCAST_RECORDS), "doc_id", "left_semi")))
+    found = found.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    if heads:
+        begin = found.groupBy("gram").agg(F.min("link").alias("x"), F.max("link").alias("y"), F.min(F.abs("link")).alias("none"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        found = found.join(begin.where("a < b and (x < y or none = 0)").select("gram"), "gram")
+    places = cut_lineage(found.groupBy("doc_id").agg(F.collect_set("at").alias("places")))
     texts = docs.join(broadcast_if_small(places, BROADCAST_RECORDS), "doc_id").dropDuplicates(["doc_id"])
-    windows = texts.mapInPandas(lambda batches: _windows(batches, span, gram), "doc_id bigint, at bigint, high bigint, low bigint, before int")
-    windows = cut_lineage(windows)
+    windows = written(texts.mapInPandas(lambda batches: _windows(batches, span, gram), "doc_id bigint, at bigint, high bigint, low bigint, before int"))
     repeated = windows.groupBy("high", "low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("high", "low")
-    return windows.join(repeated, ["high", "low"]).select("doc_id", "at", "high", "low", "before")
+    return windows.join(repeated, ["high", "low"]).select("doc_id", "at", "high", "low", "before"), members
 
 
 def shared_pairs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -145,13 +157,12 @@ def shared_pairs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
     A pair is made only where a common span begins, that is where the characters before differ or one is missing.
     Windows inside a span that everybody shares make none, so the work follows the result, not its square.
     """
-    windows = repeated_windows(docs, span, gram)
+    windows, members = repeated_windows(docs, span, gram, heads=True)
     begins = windows.groupBy("high", "low").agg(F.min("before").alias("x"), F.max("before").alias("y")).where("x < y or x = -1").select("high", "low")
     heads = windows.join(begins, ["high", "low"]).select("high", "low", "doc_id", "before").distinct()
     a, b = heads.alias("a"), heads.alias("b")
     meet = (F.col("a.high") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.doc_id") < F.col("b.doc_id"))
     pairs = a.join(b, meet & ((F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1))).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()
-    members = classes(docs).where(F.col("chars") >= span)
     left = members.select(F.col("class_id").alias("x"), F.col("doc_id").alias("l"))
     right = members.select(F.col("class_id").alias("y"), F.col("doc_id").alias("r"))
     across = pairs.join(left, "x").join(right, "y").select("l", "r")
@@ -162,8 +173,8 @@ def shared_pairs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
 
 def shared_intervals(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, begin, end): the maximal intervals of each record (from 0, end exclusive) that stand elsewhere too."""
-    members = classes(docs)
-    windows = repeated_windows(docs, span, gram).select("doc_id", "at").distinct()
+    windows, members = repeated_windows(docs, span, gram)
+    windows = windows.select("doc_id", "at").distinct()
     order = Window.partitionBy("doc_id").orderBy("at")
     marked = windows.withColumn("__new", (F.col("at") > F.lag("at").over(order) + span) | F.lag("at").over(order).isNull())
     island = marked.withColumn("__island", F.sum(F.col("__new").cast("int")).over(order))

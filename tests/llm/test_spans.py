@@ -53,6 +53,18 @@ def test_pairs_and_intervals_against_all_windows(spark):
         assert {r.doc_id: r.shared_chars for r in spans.shared_share(frame(spark, rows), 20, 9).collect()} == {d: len(c) for d, c in covered.items()}
 
 
+def test_spans_that_differ_between_two_chosen_windows(spark):
+    """Two common parts with one differing character between them, at every distance."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = []
+    for i in range(0, 120, 2):
+        left, right = text(rng.randint(15, 25)), text(rng.randint(15, 25))
+        rows += [(i, text(3) + left + "x" + right + text(3)), (i + 1, text(4) + left + rng.choice("xy") + right + text(2))]
+    for gram in (3, 10, 17):
+        assert {tuple(r) for r in spans.shared_pairs(frame(spark, rows), 20, gram).collect()} == brute(rows, 20)[0]
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert spans.shared_pairs(frame(spark, []), 20, 9).count() == 0
     assert spans.shared_pairs(frame(spark, [(1, "b" * 40)] * 3 + [(None, "b" * 40)]), 20, 9).count() == 0
