@@ -22,36 +22,40 @@ def _points(sets: Column, side: str) -> Column:
     return F.aggregate(sets, F.lit(0).cast("bigint"), lambda total, s: total + F.coalesce(s[side], F.lit(0)).cast("bigint"))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed here and not copied into the expressions that use it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def perspectives(matches: DataFrame) -> DataFrame:
     """Two rows a match. won is null without a winner. A null sets array counts as empty.
 
     The first set is the one with the smallest number. The last set decides if there are at least two and those
     before it are split evenly. A straight win is a win without a lost set and with at least one won.
     """
-    ordered = F.array_sort(F.coalesce("sets", F.array().cast("array<struct<set_number:int,a:int,b:int>>")))
-    m = matches.withColumn("__s", ordered)
-    m = m.withColumns({
-        "__wa": F.size(F.filter("__s", lambda s: s["a"] > s["b"])), "__wb": F.size(F.filter("__s", lambda s: s["b"] > s["a"])),
-        "__pa": _points(F.col("__s"), "a"), "__pb": _points(F.col("__s"), "b"), "__first": F.try_element_at("__s", F.lit(1)), "__last": F.try_element_at("__s", F.lit(-1)),
-        "__eff": effective_time(F.col("done_us"), F.col("start_us"), F.col("scheduled_us")),
-    })
-    n = F.size("__s")
-    before = F.slice("__s", 1, F.greatest(n - 1, F.lit(0)))
-    even = F.size(F.filter(before, lambda s: s["a"] > s["b"])) == F.size(F.filter(before, lambda s: s["b"] > s["a"]))
-    decider = (n >= 2) & even
+    ordered = F.sort_array(F.coalesce("sets", F.array().cast("array<struct<set_number:int,a:int,b:int>>")))
+    m = _once(matches, "__s", ordered)
+    first, last = F.try_element_at("__s", F.lit(1)), F.try_element_at("__s", F.lit(-1))
+    won = lambda x, y: F.size(F.filter("__s", lambda s: s[x] > s[y]))
+    m = _once(m, "__m", F.struct(
+        F.size("__s").alias("n"), won("a", "b").alias("wa"), won("b", "a").alias("wb"), _points(F.col("__s"), "a").alias("pa"), _points(F.col("__s"), "b").alias("pb"),
+        *[F.when(e.isNotNull(), (e[x] > e[y]).cast("int")).alias(f"{name}_{x}") for name, e in (("first", first), ("last", last)) for x, y in (("a", "b"), ("b", "a"))],
+        effective_time(F.col("done_us"), F.col("start_us"), F.col("scheduled_us")).alias("at"),
+    ))
+    s = F.col("__m")
+    decider = (s["n"] >= 2) & (s["wa"] - s["last_a"] == s["wb"] - s["last_b"])
     sides = []
-    for mine, other, us, them, win_us, win_them, pts_us, pts_them in (("a", "b", "player_a", "player_b", "__wa", "__wb", "__pa", "__pb"), ("b", "a", "player_b", "player_a", "__wb", "__wa", "__pb", "__pa")):
-        won = F.when(F.col("winner").isNotNull(), (F.col("winner") == F.col(us)).cast("int"))
-        ahead = lambda s, mine=mine, other=other: F.when(s.isNotNull(), (s[mine] > s[other]).cast("int"))
+    for mine, other, us, them in (("a", "b", "player_a", "player_b"), ("b", "a", "player_b", "player_a")):
+        won_it = F.when(F.col("winner").isNotNull(), (F.col("winner") == F.col(us)).cast("int"))
         sides.append(F.struct(
-            F.col(us).alias("player"), F.col(them).alias("opponent"), won.alias("won"),
-            F.col(win_us).alias("sets_for"), F.col(win_them).alias("sets_against"), F.col(pts_us).alias("points_for"), F.col(pts_them).alias("points_against"),
-            ahead(F.col("__first")).alias("first_won"), decider.cast("int").alias("decider"), F.when(decider, ahead(F.col("__last"))).alias("decider_won"),
-            ((won == 1) & (F.col(win_them) == 0) & (F.col(win_us) > 0)).cast("int").alias("straight"),
+            F.col(us).alias("player"), F.col(them).alias("opponent"), won_it.alias("won"),
+            s[f"w{mine}"].alias("sets_for"), s[f"w{other}"].alias("sets_against"), s[f"p{mine}"].alias("points_for"), s[f"p{other}"].alias("points_against"),
+            s[f"first_{mine}"].alias("first_won"), decider.cast("int").alias("decider"), F.when(decider, s[f"last_{mine}"]).alias("decider_won"),
+            ((won_it == 1) & (s[f"w{other}"] == 0) & (s[f"w{mine}"] > 0)).cast("int").alias("straight"),
         ))
     duration = F.when(F.col("start_us").isNotNull() & F.col("done_us").isNotNull(), F.col("done_us") - F.col("start_us"))
     rows = m.select(
-        F.col("id").alias("match_id"), F.col("__eff").alias("at"), "competition_id", "best_of", duration.alias("duration_us"),
+        F.col("id").alias("match_id"), s["at"].alias("at"), "competition_id", "best_of", duration.alias("duration_us"),
         (~F.col("status").isin(*COMPLETED)).cast("int").alias("incomplete"), F.inline(F.array(*sides)),
     )
     return rows.where(F.col("player").isNotNull() & F.col("at").isNotNull())

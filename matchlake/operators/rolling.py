@@ -46,7 +46,7 @@ def measures() -> dict[str, Column]:
 def decayed(half_life: float = HALF_LIFE_DAYS) -> dict[str, Column]:
     """Sums of floating point numbers: decay weights (times the result) and performance (and its square)."""
     weight = F.pow(F.lit(2.0), (F.col("at") - F.lit(_EPOCH_US)) / F.lit(half_life * DAY_US))
-    score = performance(F.col("won"), F.col("points_for"), F.col("points_against"))
+    score = performance(F.col("won"), F.col("points_for"), F.col("points_against")) - 50  # around 0: squares stay small
     has = F.col("won").isNotNull()
     zero = F.lit(0.0)
     return {

@@ -22,7 +22,7 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     a, b = (F.col("l_quantity").cast("int") % 12), (F.col("l_partkey") % 12).cast("int")
     sets = lines.withColumn("set_number", F.row_number().over(order)).where("set_number <= 7").select("l_orderkey", F.struct("set_number", a.alias("a"), F.when(a == b, b + 1).otherwise(b).alias("b")).alias("s"))
-    sets = sets.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("all_sets"))
+    sets = sets.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("all_sets"))
     key = F.col("o_orderkey")
     pa = F.col("o_custkey") % players
     pb = F.floor(pa / 10) * 10 + (pa % 10 + 1 + key % 9) % 10

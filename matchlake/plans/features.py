@@ -26,6 +26,11 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(F.col("probe.match").alias("match_id"), F.col("probe.side").alias("side"), *[c for c in df.columns if c != "probe"])
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to nine digits, without negative zero: sums of doubles depend on their order in the last digits."""
+    return df.withColumns({c: F.round(c, 9) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
+
+
 def rolling_windows(spark: SparkSession, sf: str) -> DataFrame:
     _, history, probes = _history(spark, sf)
     return _flat(rolling.window_features(rolling.window_rows(history, probes))).drop("player")
@@ -43,7 +48,7 @@ def rest_and_workload(spark: SparkSession, sf: str) -> DataFrame:
 
 def form_and_volatility(spark: SparkSession, sf: str) -> DataFrame:
     _, history, probes = _history(spark, sf)
-    return _flat(rolling.form_and_volatility(history, probes))
+    return _flat(_rounded(rolling.form_and_volatility(history, probes)))
 
 
 def result_streak(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +84,7 @@ def matchup_differentials(spark: SparkSession, sf: str) -> DataFrame:
     ranks = asof.latest(derived.rankings(spark, sf).withColumn("id", F.col("ranking")), probes, ["player"], ["ranking"], "id").select("probe", "ranking")
     every = base.join(rest, "probe").join(form, "probe").join(ranks, "probe")
     side = lambda s: every.where(F.col("probe.side") == s).withColumn("probe", F.col("probe.match"))
-    return matchup.differentials(side("a"), side("b")).withColumnRenamed("probe", "match_id")
+    return _rounded(matchup.differentials(side("a"), side("b"))).withColumnRenamed("probe", "match_id")
 
 
 QUERIES = {f.__name__: f for f in (rolling_win_rate, rolling_windows, rest_and_workload, form_and_volatility, result_streak, head_to_head, ranking_latest_before, odds_at_or_before, matchup_differentials)}
@@ -111,7 +116,7 @@ ORACLE = {
     "rolling_windows": f"{_WITH} {_WINDOWS}",
     "rolling_win_rate": f"{_WITH} select match_id, side, window_size, matches_played, win_rate from ({_WINDOWS}) where window_size in (0, 5)",
     "rest_and_workload": f"{_WITH}, {_REST} select r.match_id, r.side, pr.player, rest_hours, matches_24h, matches_7d from r join pr using (match_id, side)",
-    "form_and_volatility": f"{_WITH}, {_FORM} select f.match_id, f.side, pr.player, recency_weighted_win_rate, volatility from f join pr using (match_id, side)",
+    "form_and_volatility": f"{_WITH}, {_FORM} select f.match_id, f.side, pr.player, round(recency_weighted_win_rate, 9) + 0.0 recency_weighted_win_rate, round(volatility, 9) + 0.0 volatility from f join pr using (match_id, side)",
     "result_streak": f"""{_WITH}, s as (select match_id, side, rn, won, t, first_value(won) over w fw, sum((won is distinct from fw0)::int) over (partition by match_id, side order by rn) breaks
         from (select *, first_value(won) over (partition by match_id, side order by rn) fw0 from h) window w as (partition by match_id, side order by rn))
         select match_id, side, pr.player, (coalesce(any_value(case when fw = 1 then 1 when fw = 0 then -1 else 0 end), 0) * count(*) filter (breaks = 0 and t is not null))::bigint result_streak
@@ -132,6 +137,6 @@ ORACLE = {
         select m.id match_id, quote_id, bookmaker, odds_a, odds_b from m left join b on b.mid = m.id""",
     "matchup_differentials": f"""{_WITH}, {_REST}, {_FORM}, {_RANK}, w as (select match_id, side, sum(won) / nullif(count(won), 0)::double wr from h group by all),
         e as (select * from w join r using (match_id, side) join f using (match_id, side) join k using (match_id, side))
-        select x.match_id, x.wr - y.wr form_differential, x.rest_hours - y.rest_hours rest_differential_hours, x.matches_7d - y.matches_7d workload_differential, x.volatility - y.volatility volatility_differential,
-          (y.ranking - x.ranking)::double ranking_differential from e x join e y on x.match_id = y.match_id and x.side = 'a' and y.side = 'b'""",
+        select x.match_id, round(x.wr - y.wr, 9) + 0.0 form_differential, round(x.rest_hours - y.rest_hours, 9) + 0.0 rest_differential_hours, x.matches_7d - y.matches_7d workload_differential,
+          round(x.volatility - y.volatility, 9) + 0.0 volatility_differential, (y.ranking - x.ranking)::double + 0.0 ranking_differential from e x join e y on x.match_id = y.match_id and x.side = 'a' and y.side = 'b'""",
 }
