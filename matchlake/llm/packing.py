@@ -3,8 +3,9 @@
 Method: minimum bin slack. For each sequence the longest remaining length is fixed and a subset-sum over a bitset
 finds the multiset of remaining lengths that comes closest to the capacity; the counts are traced back from the
 bitsets. Only lengths matter for that, so it runs on the histogram of lengths, which has at most ``capacity``
-rows however large the corpus is, and a filling found once is used as often as the counts allow. The number of
-different fillings is thereby bounded by the capacity too; the driver sees no document.
+rows however large the corpus is, and a filling found once is used as often as the counts allow. Each filling
+leaves some length n with fewer texts than it uses of it, at most capacity / n, or takes from a length that is there
+already; so there are at most sum(1 + capacity / n) fillings, about 18,000 for 2,048. The driver sees no document.
 
 Placing the documents is then a numbering: the r-th text of its length goes where the table of fillings says.
 The numbers are made in two levels (slice of a length, then place in the slice), so a length that a third of all

@@ -84,4 +84,9 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_persons, p4_found, p4_matches, p7_sequences, p7_fill, p8_found, p8_by_item, p9_found, p9_shared)}
-ORACLE: dict[str, str] = {}
+# Every window of 300 characters of every document, compared as text.
+_SPANS = """with w as (select doc_id, unnest(range(1, length(text) - 298)) s, text from documents where length(text) >= 300),
+g as (select distinct doc_id, substr(text, s, 300) x from w), r as (select x from g group by x having count(*) > 1), m as (select g.* from g join r using (x))"""
+ORACLE = {
+    "p9_found": f"{_SPANS} select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from m a join m b on a.x = b.x and a.doc_id < b.doc_id",
+}
