@@ -130,7 +130,32 @@ k as (select s.snapshot_id, u.side, arg_max(h.ranking, {'e': h.effective_at, 'i'
 v as (select s.snapshot_id, stored_a, stored_b, stored_d, ka.v::double valid_a, kb.v::double valid_b, (kb.v - ka.v)::double valid_d from s
       left join k ka on ka.snapshot_id = s.snapshot_id and ka.side = 'a' left join k kb on kb.snapshot_id = s.snapshot_id and kb.side = 'b')
 """
+# The zones' abbreviations in hours, and the local forms, by plain format patterns.
+_HOURS = {"UTC": 0, "GMT": 0, "BST": 1, "CET": 1, "CEST": 2, "EST": -5, "EDT": -4, "JST": 9, "AEST": 10, "AEDT": 11}
+_P3 = f"""
+with t as (
+  select 'imported_match' table_name, 'scheduled_at' field_name, match_row_id row_id, provenance.provider provider, trim(scheduled_at) v from imported_match
+  union all select 'imported_match', 'completed_at', match_row_id, provenance.provider, trim(completed_at) from imported_match
+  union all select 'imported_odds', 'captured_at', odds_row_id, provenance.provider, trim(captured_at) from imported_odds
+), z as (select t.*, time_zone, day_first, regexp_replace(v, '\\[.*\\]$', '') b, regexp_extract(v, ' ([A-Z]{{3,4}})$', 1) ab from t join provider_feed f on f.provider = t.provider where v is not null),
+w as (select *, case
+    when regexp_full_match(v, '\\d{{13}}') then v::bigint * 1000
+    when regexp_full_match(v, '\\d{{10}}(\\.\\d+)?') then (v::decimal(20, 6) * 1000000)::bigint
+    when regexp_full_match(b, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d(:?\\d\\d)?)') then epoch_us(try_cast(regexp_replace(b, '([+-]\\d\\d)(\\d\\d)$', '\\1:\\2') as timestamptz))
+    when regexp_full_match(b, '\\d{{8}}T\\d{{6}}Z') then epoch_us(try_strptime(b, '%Y%m%dT%H%M%SZ'))
+    when regexp_full_match(b, '.* (GMT)?[+-]\\d\\d:?\\d\\d') then epoch_us(coalesce(try_strptime(regexp_extract(b, '(\\d+ [A-Z][a-z]+ \\d{{4}} [0-9:]+)', 1), '%d %b %Y %H:%M:%S'), null))
+      - (case when regexp_matches(b, '-\\d\\d:?\\d\\d$') then -1 else 1 end) * (regexp_extract(b, '[+-](\\d\\d):?(\\d\\d)$', 1)::bigint * 3600 + regexp_extract(b, '[+-](\\d\\d):?(\\d\\d)$', 2)::bigint * 60) * 1000000
+    when ab in ({", ".join(repr(a) for a in _HOURS)}) then epoch_us(try_strptime(left(b, length(b) - length(ab) - 1), ['%d %b %Y %H:%M:%S', '%Y-%m-%d %H:%M:%S'])) - (case ab {" ".join(f"when '{a}' then {h}" for a, h in _HOURS.items())} end) * 3600000000
+  end us,
+  case when regexp_full_match(b, '\\d{{4}}-.*[0-9]') and not regexp_matches(b, '[+-]\\d\\d(:?\\d\\d)?$') or regexp_full_match(b, '\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d') then try_strptime(replace(replace(b, 'T', ' '), ',', '.'), ['%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M'])
+    when regexp_full_match(b, '\\d\\d[/.].*') then case when day_first then try_strptime(replace(b, '.', '/'), ['%d/%m/%Y %H:%M', '%d/%m/%Y %I:%M %p']) else try_strptime(replace(b, '.', '/'), ['%m/%d/%Y %I:%M %p', '%m/%d/%Y %H:%M']) end
+    when regexp_full_match(b, '[A-Z][a-z]+ \\d.*M') then try_strptime(b, '%b %d, %Y %I:%M %p') end loc from z),
+l as (select *, timezone(time_zone, loc) u from w),
+r as (select *, case when timezone(time_zone, u) = loc then case when timezone(time_zone, u - interval 1 hour) = loc then u - interval 1 hour else u end end first_pass from l)
+"""
 ORACLE = {
+    "p3_found": _P3 + """select table_name, field_name, row_id, coalesce(us, epoch_us(first_pass)) instant_us from r
+        where coalesce(us, epoch_us(first_pass)) is not null and not regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z')""",
     "p1_found": _P1 + "select delivery_id from d where n > 1",
     "p1_kept_by_type": _P1 + "select provider, record_type, count(*)::bigint messages, min(fetched_at)::timestamp first_fetched from d where n = 1 group by all",
     "p5_found": _P5 + "select distinct table_name, field_name, row_id from o",
