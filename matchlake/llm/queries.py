@@ -89,4 +89,6 @@ _SPANS = """with w as (select doc_id, unnest(range(1, length(text) - 298)) s, te
 g as (select distinct doc_id, substr(text, s, 300) x from w), r as (select x from g group by x having count(*) > 1), m as (select g.* from g join r using (x))"""
 ORACLE = {
     "p9_found": f"{_SPANS} select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from m a join m b on a.x = b.x and a.doc_id < b.doc_id",
+    "p9_shared": f"""{_SPANS}, c as (select distinct w.doc_id, unnest(range(w.s, w.s + 300)) p from w join r on substr(w.text, w.s, 300) = r.x)
+        select doc_id, length(any_value(text))::bigint chars, count(*)::bigint shared_chars, count(*) / length(any_value(text))::double "share" from c join documents using (doc_id) group by 1""",
 }
