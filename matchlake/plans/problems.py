@@ -156,6 +156,7 @@ r as (select *, case when timezone(time_zone, u) = loc then case when timezone(t
 ORACLE = {
     "p3_found": _P3 + """select table_name, field_name, row_id, coalesce(us, epoch_us(first_pass)) instant_us from r
         where coalesce(us, epoch_us(first_pass)) is not null and not regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z')""",
+    "p3_unreadable": _P3 + "select table_name, field_name, provider, count(*)::bigint texts, (count(*) filter (coalesce(us, epoch_us(first_pass)) is null))::bigint unreadable from r group by all",
     "p1_found": _P1 + "select delivery_id from d where n > 1",
     "p1_kept_by_type": _P1 + "select provider, record_type, count(*)::bigint messages, min(fetched_at)::timestamp first_fetched from d where n = 1 group by all",
     "p5_found": _P5 + "select distinct table_name, field_name, row_id from o",
