@@ -81,9 +81,9 @@ def test_odds_repeats_and_cross_provider(spark):
 
 
 def test_identities(spark):
-    ids = [("i1", "anna berg", ["ana berg"], "SWE", None, [("p", "1")]), ("i2", "carl dahl", None, None, None, []), ("i3", "eva lund", [], "SWE", None, []), ("i4", "eva lunde", [], "SWE", None, [])]
+    ids = [("i1", "anna berg", ["ana berg"], "SWE", None, [("p", "1")]), ("i2", "carl dahl", None, None, None, []), ("i3", "evangelina lund", [], "SWE", None, []), ("i4", "evangelina lunde", [], "SWE", None, [])]
     schema = "id string, normalized_name string, aliases array<string>, country string, birth_date date, external_ids array<struct<provider:string,provider_player_id:string>>"
-    cands = [(1, "anna berg", None, None, "p", "1"), (2, "zzzz yyyy", None, None, "p", "1"), (3, "ana berg", None, None, None, None), (4, "carl dahl", "NOR", None, "x", "9"), (5, "anna berg", "NOR", None, None, None), (6, "eva lund", None, None, None, None), (7, None, None, None, None, None), (8, "quite other", None, None, None, None)]
+    cands = [(1, "anna berg", None, None, "p", "1"), (2, "zzzz yyyy", None, None, "p", "1"), (3, "ana berg", None, None, None, None), (4, "carl dahl", "NOR", None, "x", "9"), (5, "anna berg", "NOR", None, None, None), (6, "evangelina lund", None, None, None, None), (7, None, None, None, None, None), (8, "quite other", None, None, None, None)]
     c = spark.createDataFrame(cands, "candidate_id int, normalized_name string, country string, birth_date date, external_provider string, external_player_id string")
     for block in (5000, 1):
         out = {r.candidate_id: (r.outcome, r.identity_id) for r in identity.resolve(c, spark.createDataFrame(ids, schema), block).collect()}
