@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions.columns import canonical_json, payload_fingerprint
-from matchlake.operators import adapt, duplicates, validate
+from matchlake.operators import adapt, duplicates, timestamps, validate
 from matchlake.session import table
 
 PROVIDERS = ("rallydesk", "northserve", "spinledger", "tabelline", "kortdata", "southpaddle", "loopfeed", "zulu_scores")
@@ -77,20 +77,24 @@ def payload_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return raw.groupBy("provider", "record_type", "record").agg(F.countDistinct("f").alias("versions"), F.countDistinct("j").alias("texts")).where("versions > 1")
 
 
-def _text_us(c: str) -> Column:
-    """Microseconds of a text in normal form, else null; the other forms are the timestamp operator's matter."""
-    return F.when(F.col(c).rlike(_NORMAL), F.unix_micros(F.try_to_timestamp(F.col(c))))
+def instants(spark: SparkSession, sf: str, rows: DataFrame, **fields: str) -> DataFrame:
+    """``rows`` with the instants that texts in any form denote; ``fields``: name of the instant, column of the text."""
+    zones = timestamps.source_zones(table(spark, sf, "provider_feed"))
+    for out, text in fields.items():
+        rows = timestamps.with_instants(rows, text, "provenance.provider", zones, out)
+    return rows
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "imported_match").withColumns({"scheduled_us": _text_us("scheduled_at"), "start_us": F.unix_micros("actual_start_at"), "done_us": _text_us("completed_at")})
+    rows = table(spark, sf, "imported_match").withColumn("start_us", F.unix_micros("actual_start_at"))
+    return instants(spark, sf, rows, scheduled_us="scheduled_at", done_us="completed_at")
 
 
 def _odds(spark: SparkSession, sf: str) -> DataFrame:
     """Odds with the effective time of the first delivered match of that key at the provider."""
     m = _matches(spark, sf).where("provenance.provider_record_id is not null")
     first = m.groupBy(F.col("provenance.provider").alias("__p"), F.col("provenance.provider_record_id").alias("__k")).agg(F.min(F.struct(F.col("match_row_id"), F.coalesce("done_us", "start_us", "scheduled_us").alias("e"))).alias("f"))
-    o = table(spark, sf, "imported_odds").withColumn("captured_us", _text_us("captured_at"))
+    o = instants(spark, sf, table(spark, sf, "imported_odds"), captured_us="captured_at")
     return o.join(first, (F.col("provenance.provider") == F.col("__p")) & (F.col("provider_match_id") == F.col("__k")), "left").withColumn("match_effective_us", F.col("f.e")).drop("__p", "__k", "f")
 
 
