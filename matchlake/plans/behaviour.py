@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchlake.functions.columns import DAY_US
 from matchlake.operators import form, normalise
 from matchlake.operators.perspective import perspectives
-from matchlake.plans import derived
+from matchlake.plans import derived, imports
 from matchlake.session import table
 
 AS_OF_US = 915_148_800_000_000
@@ -42,15 +42,15 @@ def repeated_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def normalize_odds(spark: SparkSession, sf: str) -> DataFrame:
     """Good and rejected odds rows, with the bookmaker as it is kept."""
-    rows = table(spark, sf, "imported_odds").select("odds_row_id", "provider_match_id", "bookmaker", "decimal_odds", "captured_at")
-    good, bad = normalise.odds(rows, F.nullif(F.trim("captured_at"), F.lit("")))
+    rows = imports.instants(spark, sf, table(spark, sf, "imported_odds"), captured_us="captured_at").select("odds_row_id", "provider_match_id", "bookmaker", "decimal_odds", "captured_us")
+    good, bad = normalise.odds(rows, F.col("captured_us"))
     keep = lambda df, reason: df.select("odds_row_id", F.col("bookmaker"), reason.alias("reason"))
     return keep(good, F.lit(None).cast("string")).unionByName(keep(bad, F.col("reason")))
 
 
 def normalize_matches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "imported_match").select("match_row_id", F.col("provenance.provider_record_id").alias("provider_match_id"), F.col("player_a_external_id").alias("player_a"), F.col("player_b_external_id").alias("player_b"), "status_raw", "scheduled_at")
-    good, bad = normalise.matches(rows, F.nullif(F.trim("scheduled_at"), F.lit("")))
+    rows = imports.instants(spark, sf, table(spark, sf, "imported_match"), scheduled_us="scheduled_at").select("match_row_id", F.col("provenance.provider_record_id").alias("provider_match_id"), F.col("player_a_external_id").alias("player_a"), F.col("player_b_external_id").alias("player_b"), "status_raw", "scheduled_us")
+    good, bad = normalise.matches(rows, F.col("scheduled_us"))
     none = F.lit(None).cast("string")
     return good.select("match_row_id", "status", none.alias("reason")).unionByName(bad.select("match_row_id", none.alias("status"), "reason"))
 
