@@ -10,19 +10,10 @@ from matchlake.session import table
 
 
 def _persons(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, person) of each imported_player row. Known identities lend their names, aliases and external ids."""
-    players, identities = table(spark, sf, "imported_player"), table(spark, sf, "player_identity")
-    typed = players.select(F.lit("row").alias("source"), F.col("player_row_id").cast("string").alias("id"), "name", "country")
-    spelled = F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    lent = identities.select(F.lit("identity").alias("source"), "id", F.explode(spelled).alias("name"), "country")
-    # The same number at the same provider is one registration; an identity owns the numbers it lists.
-    number = F.concat_ws(":", F.lit("number"), "provenance.provider", F.trim("external_player_id"))
-    rows = players.where(F.length(F.trim("external_player_id")) > 0).select(F.lit("row").alias("source"), F.col("player_row_id").cast("string").alias("id"), number.alias("entity"))
-    listed = identities.select("id", F.explode("external_ids").alias("x")).select("id", F.concat_ws(":", F.lit("number"), "x.provider", F.trim("x.provider_player_id")).alias("entity"))
-    owned = rows.join(listed.select(F.col("id").alias("owner"), "entity"), "entity").select("source", "id", F.concat(F.lit("identity:"), "owner").alias("entity"))
-    itself = identities.select(F.lit("identity").alias("source"), "id", F.concat(F.lit("identity:"), "id").alias("entity"))
-    linked = names.link_names(typed.unionByName(lent), rows.unionByName(owned).unionByName(itself))
-    return linked.where("source = 'row'").select(F.col("id").cast("bigint").alias("id"), "person")
+    """(id, person) of each imported_player row, by nothing but how the names are written and the country."""
+    players = table(spark, sf, "imported_player")
+    linked = names.link_names(players.select(F.lit("row").alias("source"), F.col("player_row_id").alias("id"), "name", "country"))
+    return linked.select(F.col("id").cast("bigint").alias("id"), "person")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
