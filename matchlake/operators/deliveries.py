@@ -3,9 +3,14 @@
 Method: exact quotient tables. The identifier of a message is written, without loss, into a fixed number of
 56-bit words (what is longer stays as a binary overflow). A Feistel permutation built of xxhash64 and XOR
 scatters the words; it is a bijection, so no two identifiers can meet. The top bits of the first word are the
-quotient, which names the shard; everything else is the remainder and is stored complete. The table itself is
-Spark's aggregation map keyed by (quotient, complete remainder): it is filled on the map side first, so a
-message that makes up a third of all rows leaves each task as one row, and it spills instead of failing.
+quotient, the rest is the remainder and is stored complete. The table is Spark's hash aggregation map, keyed and
+exchanged by (quotient, complete remainder): it is filled on the map side first, so a message that makes up a third of
+all rows leaves each task as one row, and it spills instead of failing.
+
+A hash map needs values of fixed width, so time of arrival and row id travel as one number of 38 digits. Its minimum, and
+that of the number with the id counted down, give the smallest and the largest row id among the first arrivals of a message.
+Where they are the same row, that is the one; only messages with several first arrivals are looked up again, to be told
+apart by the columns between.
 """
 
 from __future__ import annotations
@@ -14,6 +19,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, TimestampNTZType, TimestampType
+
+from matchlake.session import written
 
 QUOTIENT_BITS = 20
 WORDS = 8
@@ -41,7 +49,7 @@ def with_quotient(df: DataFrame, parts: Sequence[Column], words: int = WORDS, bi
     width = digits * words
     out = df.withColumn("__encoded", F.hex(F.encode(F.concat(*[_prefixed(p) for p in parts]), "utf-8")))
     out = out.withColumn("__padded", F.rpad(F.substring("__encoded", 1, width), width, "0"))
-    out = out.withColumn("__overflow", F.when(F.length("__encoded") > width, F.expr(f"unhex(substring(__encoded, {width + 1}))")))
+    out = out.withColumn("__overflow", F.expr(f"unhex(substring(__encoded, {width + 1}))"))
     out = out.withColumns({f"__x{i}": F.conv(F.substring("__padded", 1 + digits * i, digits), 16, 10).cast("bigint") for i in range(words)})
     xs = [F.col(f"__x{i}") for i in range(words)]
     # Round 1: the head is XORed with a hash of all the rest; round 2: each other word with a hash of the head;
@@ -62,6 +70,41 @@ def _order(first: Sequence[str]) -> Column:
     return F.struct(*[x for c in first for x in (F.col(c).isNull().alias(f"__no_{c}"), F.col(c))])
 
 
+#: Digits of a row id, and from where ids and times are counted so that none is negative. Times beyond the years 1 to 9999
+#: count as the ends of that range here and are told apart with the ties.
+_ID_DIGITS, _ID_ZERO, _TIME_ZERO, _TIME_TOP = 20, 2**63, 62_135_596_800_000_000, 10**18 - 1
+
+
+def _whole(n: int, digits: int) -> Column:
+    return F.lit(str(n)).cast(f"decimal({digits},0)")
+
+
+def _number(at: Column, row: Column, down: bool = False) -> Column:
+    """Arrival and row id as one number; an unknown arrival is the last. ``down``: ids counted from their largest."""
+    time = F.when(at.isNull(), F.lit(_TIME_TOP)).otherwise(F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(_TIME_TOP - 1), F.greatest(at, F.lit(-_TIME_ZERO)) + F.lit(_TIME_ZERO))))
+    code = row.cast("decimal(20,0)") + _whole(_ID_ZERO, 20)
+    code = _whole(10**_ID_DIGITS - 1, 20) - code if down else code
+    return (time.cast("decimal(18,0)") * _whole(10**_ID_DIGITS, 21) + code.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def _row_of(number: Column, down: bool = False) -> Column:
+    code = F.pmod(number, _whole(10**_ID_DIGITS, 21)).cast("decimal(20,0)")
+    code = _whole(10**_ID_DIGITS - 1, 20) - code if down else code
+    return (code - _whole(_ID_ZERO, 20)).cast("bigint")
+
+
+def _first_of_each(named: DataFrame, names: list[str], order: Sequence[str]) -> DataFrame:
+    """The row ids of the first deliveries, by a hash table; order: a timestamp, any columns, an integral row id."""
+    at, row = F.unix_micros(F.col(order[0]).cast("timestamp")), F.col(order[-1]).cast("bigint")
+    table = written(named.groupBy(*names).agg(F.min(_number(at, row)).alias("__low"), F.min(_number(at, row, True)).alias("__high"), F.count(row).alias("__ids"), F.count("*").alias("__rows")))
+    settled = (_row_of(F.col("__low")) == _row_of(F.col("__high"), True)) & (F.col("__ids") == F.col("__rows"))
+    first = table.where(settled).select(_row_of(F.col("__low")).alias(order[-1]))
+    if (tied := table.where(~F.coalesce(settled, F.lit(False))).select(*names)).isEmpty():
+        return first
+    again = named.join(tied, names, "left_semi").groupBy(*names).agg(F.min(_order(order)).alias("__first"))
+    return first.unionByName(again.select(F.col("__first").getField(order[-1]).cast("bigint").alias(order[-1])))
+
+
 def kept_deliveries(
     df: DataFrame,
     key: Sequence[str] = ("provider", "record_type"),
@@ -69,21 +112,26 @@ def kept_deliveries(
     order: Sequence[str] = ("fetched_at", "source_batch_id", "delivery_id"),
     words: int = WORDS,
 ) -> DataFrame:
-    """One row (``order`` columns) for each message: its first delivery.
+    """One row for each message: the last of the ``order`` columns, the row id, of its first delivery.
 
     Nulls in ``key`` are a value like any other; null ``order`` values come last. A row whose identifier is null
-    or blank names no message: it is its own message and is kept. Repeated equal rows count once.
+    or blank names no message: it is its own message and is kept. Repeated equal rows count once. If the first order
+    column is no timestamp or the row id no integer, the first delivery is found by comparing the columns themselves.
     """
+    row_id = order[-1]
     base = df.select(*[F.col(c) for c in dict.fromkeys([*key, id_column, *order])]).withColumn("__id", normalised_id(F.col(id_column)))
     named, names = with_quotient(base.where(F.col("__id").isNotNull()), [*[F.col(c) for c in key], F.col("__id")], words)
-    first = named.groupBy(*names).agg(F.min(_order(order)).alias("__first"))
-    kept = first.select(*[F.col("__first").getField(c).alias(c) for c in order])
-    return kept.unionByName(base.where(F.col("__id").isNull()).select(*order).distinct())
+    kinds = [df.schema[c].dataType for c in (order[0], row_id)]
+    if isinstance(kinds[0], (TimestampType, TimestampNTZType)) and isinstance(kinds[1], (LongType, IntegerType)):
+        kept = _first_of_each(named, names, order).select(F.col(row_id).cast(kinds[1]).alias(row_id))
+    else:
+        kept = named.groupBy(*names).agg(F.min(_order(order)).alias("__first")).select(F.col("__first").getField(row_id).alias(row_id))
+    return kept.unionByName(base.where(F.col("__id").isNull()).select(row_id).distinct())
 
 
 def dropped_deliveries(df: DataFrame, row_id: str = "delivery_id", **how) -> DataFrame:
     """The row ids of the deliveries that are not kept, distinct. ``row_id`` must be among the order columns."""
-    kept = kept_deliveries(df, **how).select(row_id)
+    kept = kept_deliveries(df, **how)
     return df.select(row_id).where(F.col(row_id).isNotNull()).distinct().join(kept, row_id, "left_anti")
 
 

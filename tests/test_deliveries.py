@@ -37,6 +37,27 @@ def test_against_a_dictionary(spark):
     assert {r[0] for r in few.collect()} == plain(rows)
 
 
+def test_hash_aggregation_and_one_message_on_a_third_of_the_rows(spark):
+    """No sort before the table, and the first of the copies comes out though many arrive at one instant."""
+    at = lambda n: datetime(2024, 1, 1, 0, 0, n % 60)
+    rows = [(i, "p", "match", "hot", f"b{(i * 7) % 13:02d}", at(7)) for i in range(300)] + [(1000 + i, "p", "match", f"m{i // 2}", "b", at(i)) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    named, names = deliveries.with_quotient(df, [F.col("provider"), F.col("provider_record_id")])
+    plan = named.groupBy(*names).agg(F.min(deliveries._number(F.unix_micros("fetched_at"), F.col("delivery_id"))).alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert {r[0] for r in deliveries.dropped_deliveries(df).collect()} == plain(rows)
+
+
+def test_order_in_one_number(spark):
+    """Arrival, then row id; unknown and impossible arrivals last and first; the id comes back out of the number."""
+    rows = [(t, i) for t in (None, -(10**18), -62135596800000000, -1, 0, 1, 253402300799999999, 10**18) for i in (-(2**63), -1, 0, 5, 2**63 - 1)]
+    df = spark.createDataFrame(rows, "t bigint, i bigint").select("t", "i", deliveries._number(F.col("t"), F.col("i")).alias("n"), deliveries._number(F.col("t"), F.col("i"), True).alias("d"))
+    got = df.select("t", "i", "n", deliveries._row_of(F.col("n")).alias("a"), deliveries._row_of(F.col("d"), True).alias("b")).collect()
+    assert all(r.a == r.b == r.i for r in got)
+    limit = lambda t: 10**18 if t is None else min(max(t, -62135596800000000), 10**18 - 2 - 62135596800000000)
+    assert [(r.t, r.i) for r in sorted(got, key=lambda r: (r.n, str(r.t)))] == [(r.t, r.i) for r in sorted(got, key=lambda r: (limit(r.t), r.i, str(r.t)))]
+
+
 def test_repeated_equal_rows_and_empty_table(spark):
     rows = [(1, "p", "match", "a", "b", datetime(2024, 1, 1))] * 3
     assert deliveries.dropped_deliveries(spark.createDataFrame(rows, SCHEMA)).count() == 0
