@@ -1,13 +1,13 @@
 """References to records that do not exist.
 
 Method: signed counts per key, kept from change deltas. A target row adds +1 to the existence of its key when it
-arrives and -1 when it is withdrawn; a referring row does the same to the key's reference count. A key with
-positive references and zero existence is an orphan. The running existence count over time gives the spans in
-which a key exists; a reference is an orphan at its time if it falls into none of them.
+arrives and -1 when it is withdrawn; a referring row adds to the key's count of references. A key with positive references
+and zero existence is an orphan. Along time the same counts say when: at each instant at which a key is referred to,
+its running existence is looked at, and if that is zero the references of that instant are orphans.
 
 Scale: deltas are summed per key and instant before anything is ordered, and what is ordered is split into
-blocks of time, so a key that holds a third of all target rows is never one task's work. The references are
-only anti-joined on their key; adaptive execution splits a key that holds a third of them.
+blocks of time, so a key that holds a third of all rows is never one task's work. The references are only
+semi-joined on (key, instant), which spreads such a key, and adaptive execution splits an instant that holds many.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("target", "provider", "key")
-BLOCK_DAYS = 30
+BLOCK_DAYS = 1
 
 
 @dataclass(frozen=True)
@@ -97,17 +97,34 @@ def split_settled(targets: DataFrame) -> DataFrame:
     return stay.unionByName(targets.where(F.col("withdrawn").isNotNull()).select(*stay.columns))
 
 
-def orphan_references(references: DataFrame, targets: DataFrame) -> DataFrame:
+def orphan_instants(references: DataFrame, targets: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """(key, at, refs): the instants at which a key is referred to though its running existence is zero, and how often.
+
+    ``references`` and ``targets`` with key, arrived, withdrawn; without nulls in key and arrived.
+    """
+    zero = F.lit(0).cast("bigint")
+    made = references.groupBy(*KEY, F.col("arrived").alias("at")).agg(F.count("*").alias("refs")).withColumn("exists", zero)
+    there = deltas(split_settled(targets), "exists").select(*KEY, "at", zero.alias("refs"), F.col("exists").cast("bigint").alias("exists"))
+    both = made.unionByName(there).withColumn("__block", F.floor(F.unix_micros("at") / F.lit(block_days * 86_400_000_000)))
+    # Two levels: sums of whole blocks first, then the running count inside each block; changes at one instant count as one.
+    sums = both.groupBy(*KEY, "__block").agg(F.sum("exists").alias("__sum"))
+    earlier = Window.partitionBy(*KEY).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*KEY, "__block", F.coalesce(F.sum("__sum").over(earlier), zero).alias("__before"))
+    inside = Window.partitionBy(*KEY, "__block").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    now = both.join(starts, [*KEY, "__block"]).withColumn("__now", F.col("__before") + F.sum("exists").over(inside))
+    return now.where((F.col("refs") > 0) & (F.col("__now") == 0)).select(*KEY, "at", "refs")
+
+
+def orphan_references(references: DataFrame, targets: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     """The references to keys that did not exist when the referring row arrived.
 
     A target exists from its arrival on (inclusive) until its withdrawal (exclusive). A null provider matches no
     target; a reference with unknown arrival is an orphan, since nothing is known to exist at its time.
     """
-    spans = existence_spans(deltas(split_settled(targets), "exists"))
-    r, s = references.alias("r"), spans.alias("s")
-    same = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in KEY]
-    there = (F.col("s.since") <= F.col("r.arrived")) & (F.col("s.until").isNull() | (F.col("s.until") > F.col("r.arrived")))
-    return r.join(s, [*same, there], "left_anti")
+    complete = F.col("provider").isNotNull() & F.col("key").isNotNull() & F.col("arrived").isNotNull()
+    known = references.where(complete)
+    orphans = orphan_instants(known, targets, block_days).select(*KEY, F.col("at").alias("arrived"))
+    return known.join(orphans, [*KEY, "arrived"], "left_semi").select(*references.columns).unionByName(references.where(~complete))
 
 
 def orphans_by_period(orphans: DataFrame, period: str = "month") -> DataFrame:

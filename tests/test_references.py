@@ -37,7 +37,17 @@ def test_against_every_pair(spark):
         refs = [(i, rng.choice(["p", "q", None]), rng.choice(keys + ["hot"] * 6), day(rng.choice([None, *range(0, 200, 5)]))) for i in range(300)]
         targets = [(rng.choice(["p", "q", None]), rng.choice(keys + ["hot"] * 6), day(rng.choice([None, *range(0, 200, 5)])), day(rng.choice([None, None, *range(0, 200, 5)]))) for _ in range(25)]
         made, there = frames(spark, refs, targets)
-        assert {r.row_id for r in R.orphan_references(made, there).collect()} == plain(refs, targets)
+        for days in (1, 30, 1000):
+            assert {r.row_id for r in R.orphan_references(made, there, days).collect()} == plain(refs, targets)
+
+
+def test_counts_along_time_and_one_key_on_a_third_of_the_rows(spark):
+    refs = [(i, "p", "hot", day(i % 50)) for i in range(300)] + [(1000 + i, "p", f"k{i}", day(3)) for i in range(600)]
+    targets = [("p", "hot", day(10), day(20)), ("p", "hot", day(15), day(30)), ("p", "k1", day(3), None), ("p", "k2", day(4), None)]
+    made, there = frames(spark, refs, targets)
+    counts = {(r.key, r.at): r.refs for r in R.orphan_instants(made, there).collect()}
+    assert all(counts["hot", day(n)] == 6 for n in (0, 9, 30, 49)) and not any(("hot", day(n)) in counts for n in (10, 20, 29)) and ("k1", day(3)) not in counts and counts["k2", day(3)] == 1
+    assert {r.row_id for r in R.orphan_references(made, there).collect()} == plain(refs, targets)
 
 
 def test_spans_of_many_arrivals_and_withdrawals(spark):
