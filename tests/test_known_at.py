@@ -40,7 +40,7 @@ def test_against_every_pair(spark):
             versions.append((i, w, rng.choice([None, *range(100)]), day(e), day(r)))
     events = [(i, rng.choice([*who, "new"]), day(rng.choice(when))) for i in range(400)]
     want = plain(events, versions)
-    for how in ({}, {"span_days": 7}, {"span_days": 100_000}, {"span_days": 30, "rows_per_shard": 10}):
+    for how in ({}, {"rows_per_shard": 100}, {"span_days": 7, "rows_per_shard": 50}, {"span_days": 100_000, "rows_per_shard": 20}, {"span_days": 30, "rows_per_shard": 10}):
         assert run(spark, events, versions, **how) == want
 
 
@@ -54,3 +54,14 @@ def test_empty_sides_and_repeated_rows(spark):
     assert run(spark, [], [(1, "a", 1, day(1), day(1))]) == set()
     assert run(spark, [(1, "a", day(3)), (1, "a", day(3))], []) == {(1, None, False)}
     assert run(spark, [(1, "a", day(3))], [(1, "a", 1, day(1), day(1))] * 3) == {(1, 1.0, True)}
+
+
+def test_a_large_entity_is_cut_into_cells(spark):
+    """No cell of an entity with nearly all rows holds much more than a shard's rows, even if they fall on one day."""
+    from matchlake.operators import known_at as k
+
+    rows = [("hot", n * 60_000_000) for n in range(1440)] + [("hot", (10 + n) * k._DAY_US) for n in range(100)] + [("cold", 5)]
+    times = spark.createDataFrame(rows, "__entity string, __time bigint")
+    large = spark.createDataFrame([("hot",)], "__entity string")
+    grid = {(r["__entity"], r["__span"]): (r["__cell"], r["__parts"]) for r in k._cells(times, large, 1, 100).collect()}
+    assert ("cold", 0) not in grid and grid["hot", 0] == (0, 15) and grid["hot", 10] == (14, 1) and max(c for c, _ in grid.values()) == 15
