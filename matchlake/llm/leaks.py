@@ -1,10 +1,10 @@
 """Evaluation items that leak into training texts.
 
-Method: pigeonhole edit matching. A text that reproduces an item within its error budget must hold at least one
-of the item's pieces unchanged, so pieces are looked up exactly and only the hits are verified, with a bit-parallel
-distance. Here a reproduction counts in runs of at least RUN words wherever they start, so every RUN-word window
-of an item is a piece; a plain split into budget + 1 pieces would miss runs that lie across its borders, and with
-half of the words as budget its pieces would be two words long.
+Method: pigeonhole edit matching. An item is split into disjoint pieces of PIECE words. A reproduction counts in runs of at
+least RUN = 2 * PIECE - 1 words, and such a run, wherever it starts, holds a whole piece; a run of up to RUN + 2 words may
+hold no more than one. So a text that reproduces enough words leaves at least (words needed) / (RUN + 2) pieces whole: the
+error budget is the number of the others, and no text with as many pieces whole as that is missed. Pieces are looked up
+exactly, and only the hits are verified, with a bit-parallel distance.
 
 All pieces of a block of items stand in one Aho-Corasick automaton, which reads each text once, whole. The
 distance counts only what is missing of the item: what a text puts between the runs is not an error, so the
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 RUN = 5
 SHARE = 0.5
-#: Items searched at once; more items are searched in several passes over the texts.
-ITEMS_PER_BLOCK = 2000
+#: Words of the items searched at once; more items are searched in several passes over the texts.
+WORDS_PER_BLOCK = 2_000_000
 
 _APOSTROPHES = "'’‘`´ʼ′＇‛"
-_MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>")
-_ENTITY = re.compile(r"&#?\w{1,10};")
+_MARKUP = re.compile(r"</?[A-Za-z!][^<>]*>")
+_ENTITY = re.compile(r"&#?\w+;")
 _ASCII = {c: (chr(c) if chr(c).isalnum() else None if chr(c) == "'" or chr(c) == "`" else " ") for c in range(128)}
 
 
@@ -111,14 +111,25 @@ def chained_words(item: list[str], text: list[str], run: int = RUN) -> int:
     return rows[-1][m]
 
 
+def piece_words(run: int) -> int:
+    """The longest pieces of which every run of ``run`` words holds a whole one."""
+    return (run + 1) // 2
+
+
 class _Index:
+    """The pieces of some items in one automaton, with what each item needs."""
+
     def __init__(self, items: list[tuple[int, list[str]]], run: int, share: float):
         self.run, self.items = run, dict(items)
         self.least = {i: max(run, -int(-(len(w) * share) // 1)) for i, w in items}
-        held: dict[str, set[int]] = {}
+        size = piece_words(run)
+        # A run that starts just after a piece's first word may have size - 1 words before the next piece and, after that
+        # one, size - 1 more: with one whole piece it is at most 3 * size - 2 words long.
+        self.pieces = {i: -(-n // (3 * size - 2)) for i, n in self.least.items()}
+        held: dict[str, set[tuple[int, int]]] = {}
         for i, w in items:
-            for k in range(len(w) - run + 1):
-                held.setdefault(" " + " ".join(w[k : k + run]) + " ", set()).add(i)
+            for k in range(0, len(w) - size + 1, size):
+                held.setdefault(" " + " ".join(w[k : k + size]) + " ", set()).add((i, k))
         self.automaton = ahocorasick.Automaton()
         for piece, of in held.items():
             self.automaton.add_word(piece, tuple(of))
@@ -126,38 +137,45 @@ class _Index:
             self.automaton.make_automaton()
         self.any = bool(held)
 
-    def leaked(self, text: str) -> list[tuple[int, int]]:
-        """(item, words reproduced) for each item that the text reproduces."""
+    def candidates(self, own: list[str]) -> list[int]:
+        """The items of which the words hold as many whole pieces as a reproduction leaves."""
+        hits: dict[int, set[int]] = {}
+        for of in {id(of): of for _, of in self.automaton.iter(" " + " ".join(own) + " ")}.values():
+            for i, k in of:
+                hits.setdefault(i, set()).add(k)
+        return [i for i, at in hits.items() if len(at) >= self.pieces[i]]
+
+    def leaked(self, text: str, tally: dict[str, int] | None = None) -> list[tuple[int, int]]:
+        """(item, words reproduced) for each item that the text reproduces; ``tally`` counts what each step lets through."""
         if not self.any:
             return []
         own = words(text)
-        hits: dict[int, int] = {}
-        for _, of in self.automaton.iter(" " + " ".join(own) + " "):
-            for i in of:
-                hits[i] = hits.get(i, 0) + 1
         out = []
-        for i, n in hits.items():
-            # n pieces hold at most n * run words: the cheapest bound first, then the distance, then the chain
-            if n * self.run >= self.least[i] and kept_words(self.items[i], own) >= self.least[i]:
-                if (got := chained_words(self.items[i], own, self.run)) >= self.least[i]:
-                    out.append((i, got))
+        near = [i for i in self.candidates(own) if len(self.items[i]) >= self.run]
+        close = [i for i in near if kept_words(self.items[i], own) >= self.least[i]]
+        for i in close:
+            if (got := chained_words(self.items[i], own, self.run)) >= self.least[i]:
+                out.append((i, got))
+        if tally is not None:
+            for step, n in (("texts", 1), ("pieces", len(near)), ("distance", len(close)), ("leaks", len(out))):
+                tally[step] = tally.get(step, 0) + n
         return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, share: float = SHARE, block: int = ITEMS_PER_BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, run: int = RUN, share: float = SHARE, block: int = WORDS_PER_BLOCK) -> DataFrame:
     """(doc_id, item_id, item_words, leaked_words): the texts that reproduce at least ``share`` of an item's words.
 
     ``docs``: doc_id, text; ``items``: item_id, text. The items are the stated query set: they are brought to the
-    tasks in blocks of ``block``, each block read against all texts. Null and empty texts leak nothing, and an item
-    of fewer than ``run`` words can't be reproduced. Rows that repeat give repeated results.
+    tasks in blocks of about ``block`` words, each block read against all texts. Null and empty texts leak nothing, and an
+    item of fewer than ``run`` words can't be reproduced. Rows that repeat give repeated results.
     """
     read = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    blocks = max(1, -(-read.count() // block))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    blocks = max(1, -(-(read.agg(F.sum(F.length("text") / 2)).head()[0] or 0) // block))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(int(blocks)))
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, item_words int, leaked_words int"
     out = None
-    for b in range(blocks):
+    for b in range(int(blocks)):
         chosen = [(r.item_id, words(r.text)) for r in read.where(part == b).toLocalIterator()]
 
         def search(batches: Iterator[pd.DataFrame], chosen=chosen) -> Iterator[pd.DataFrame]:

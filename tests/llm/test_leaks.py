@@ -53,7 +53,7 @@ def test_defined_cases(spark):
     rows = [(1, "intro " + item), (2, "one two three four five x"), (3, "one two three four x six seven eight nine"), (4, "six seven eight nine ten one two three four"), (5, None), (6, ""), (7, ("filler " * 60_000) + item.upper()), (7, "one two three four five"), (8, " ".join(reversed(item.split())))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ITEM_ID", F.lit("clash"))
     items = spark.createDataFrame([(10, item), (11, "too short here"), (12, None), (None, item), (13, ""), (14, item)], "item_id bigint, text string")
-    for block in (2000, 1):
+    for block in (2000, 40):
         got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items, block=block).collect()}
         assert got == {(d, i) for d in (1, 2, 4, 7) for i in (10, 14)}
     assert leaks.leaks(docs.limit(0), items).count() == leaks.leaks(docs, items.limit(0)).count() == 0
@@ -72,3 +72,25 @@ def test_tables_against_every_pair(spark, sf):
 
 def lcs_bound(item, text):
     return len(item) if not item else sum(w in set(text) for w in item)
+
+
+def test_markup_of_any_length():
+    assert leaks.words(f'one <a href="{"x" * 5000}">two</a> three &{"y" * 50}; four') == ["one", "two", "three", "y" * 50, "four"]
+    assert leaks.words("<" * 100_000) == [] and leaks.words("a < b and c > d <") == ["a", "b", "and", "c", "d"]
+
+
+def test_pieces_of_every_reproduction():
+    """Whatever runs of enough words a text keeps, it keeps as many whole pieces as the filter asks for."""
+    rng = random.Random(8)
+    for _ in range(2000):
+        run = rng.choice((2, 3, 4, 5, 6))
+        item = [f"w{i}" for i in range(rng.randint(run, 40))]
+        index = leaks._Index([(1, item)], run, 0.5)
+        text, at = [], 0
+        while at < len(item):
+            at += rng.choice((0, 1, 2, 3))
+            n = rng.choice((run, run, run + 1, run + 2, run + 4))
+            text += [*item[at : at + n], "-"]
+            at += n
+        if leaks.chained_words(item, text, run) >= index.least[1]:
+            assert index.candidates(text) == [1]
