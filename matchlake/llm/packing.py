@@ -19,18 +19,22 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.session import cut_lineage
+from matchlake.session import broadcast_if_small, written
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits of the byte-level vocabulary's public pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\rA-Za-z0-9]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+")
-_SLICES = 64
+#: Slices of each length: at least so many, and one for so many texts.
+_SLICES, _SLICE_TEXTS = 64, 1_000_000
+#: More texts than one length ever has: makes one number of a length and a place.
+_PLACES = 2**44
 _CACHED_WORDS = 500_000
 
 
@@ -130,6 +134,19 @@ def fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return out
 
 
+def places(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
+    """Rows (length, first text, texts of it a sequence, first sequence, position, offset), by length and first text."""
+    used = dict.fromkeys(histogram, 0)
+    rows = []
+    for sequence, repeats, chosen in fillings(histogram, capacity):
+        position = offset = 0
+        for length, k in sorted(chosen.items(), reverse=True):
+            rows.append((length, used[length], k, sequence, position, offset))
+            used[length] += k * repeats
+            position, offset = position + k, offset + k * length
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
+
+
 def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, part, tokens, sequence_id, position, start_token) for ``sizes``: doc_id, tokens.
 
@@ -143,41 +160,29 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     n = F.coalesce(F.col("tokens"), F.lit(0))
     last = F.greatest(F.ceil(n / capacity) - 1, F.lit(0)).cast("int")
     parts = sizes.select("doc_id", n.alias("__n"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    parts = parts.select("doc_id", "part", F.least(F.col("__n") - F.col("part") * capacity, F.lit(capacity)).cast("int").alias("tokens"))
-    empty, items = parts.where("tokens = 0"), cut_lineage(parts.where("tokens > 0"))
+    parts = written(parts.select("doc_id", "part", F.least(F.col("__n") - F.col("part") * capacity, F.lit(capacity)).cast("int").alias("tokens")))
+    empty, items = parts.where("tokens = 0"), parts.where("tokens > 0")
+    histogram = {r["tokens"]: r["c"] for r in items.groupBy("tokens").agg(F.count("*").alias("c")).collect()}  # at most capacity rows
+    table = places(histogram, capacity)
+    keys = table[:, 0] * _PLACES + table[:, 1]
 
     # Level one: how many of each length stand in each slice, and so at which number each slice begins.
-    items = items.withColumn("__slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(_SLICES)).cast("int"))
-    sizes_of = items.groupBy("tokens", "__slice").agg(F.count("*").alias("__c"))
-    slices = [(r["tokens"], r["__slice"], r["__c"]) for r in sizes_of.collect()]  # at most capacity * _SLICES rows
-    histogram: dict[int, int] = {}
-    first: list[tuple[int, int, int]] = []
-    for length, part, c in sorted(slices):
-        first.append((length, part, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + c
-    used = dict.fromkeys(histogram, 0)
-    table = []
-    for sequence, repeats, chosen in fillings(histogram, capacity):
-        position = offset = 0
-        for length, k in sorted(chosen.items(), reverse=True):
-            table.append((length, used[length], used[length] + k * repeats, k, sequence, position, offset))
-            used[length] += k * repeats
-            position, offset = position + k, offset + k * length
-    spark = sizes.sparkSession
-    starts = spark.createDataFrame(first, "tokens int, __slice int, __first bigint")
-    places = spark.createDataFrame(table, "tokens int, __from bigint, __to bigint, __k bigint, __sequence bigint, __position bigint, __offset bigint")
-
-    # Level two: the number within the slice. Both tables are bounded by the capacity, not by the data.
+    slices = max(_SLICES, -(-sum(histogram.values()) // _SLICE_TEXTS))
+    items = items.withColumn("__slice", F.pmod(F.xxhash64("doc_id", "part"), F.lit(slices)).cast("int"))
+    before = Window.partitionBy("tokens").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = items.groupBy("tokens", "__slice").agg(F.count("*").alias("__c")).select("tokens", "__slice", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__first"))
+    # Level two: the number within the slice.
     inside = Window.partitionBy("tokens", "__slice").orderBy("doc_id", "part")
-    numbered = items.withColumn("__r", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["tokens", "__slice"])
-    numbered = numbered.withColumn("__r", F.col("__r") + F.col("__first"))
-    placed = numbered.join(F.broadcast(places), "tokens").where((F.col("__r") >= F.col("__from")) & (F.col("__r") < F.col("__to")))
-    step = F.col("__r") - F.col("__from")
-    among = F.pmod(step, F.col("__k"))
-    done = placed.select(
-        "doc_id", "part", "tokens",
-        (F.col("__sequence") + F.floor(step / F.col("__k"))).cast("bigint").alias("sequence_id"),
-        (F.col("__position") + among).cast("int").alias("position"),
-        (F.col("__offset") + among * F.col("tokens")).cast("int").alias("start_token"),
-    )
+    numbered = items.withColumn("__r", F.row_number().over(inside) - 1).join(broadcast_if_small(starts, _SLICES * capacity), ["tokens", "__slice"])
+    numbered = numbered.select("doc_id", "part", "tokens", (F.col("__r") + F.col("__first")).alias("__r"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            length, r = batch["tokens"].to_numpy(dtype=np.int64), batch["__r"].to_numpy(dtype=np.int64)
+            _, first, k, sequence, position, offset = table[np.searchsorted(keys, length * _PLACES + r, side="right") - 1].T
+            step = r - first
+            yield batch[["doc_id", "part", "tokens"]].assign(sequence_id=sequence + step // k, position=(position + step % k).astype(np.int32), start_token=(offset + step % k * length).astype(np.int32))
+
+    kind = sizes.schema["doc_id"].dataType.simpleString()
+    done = numbered.mapInPandas(place, f"doc_id {kind}, part int, tokens int, sequence_id bigint, position int, start_token int")
     return done.unionByName(empty.select("doc_id", "part", "tokens", *[F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("sequence_id", "position", "start_token")]))
