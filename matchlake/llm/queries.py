@@ -74,12 +74,19 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_share(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_persons, p4_found, p4_matches, p7_sequences, p7_fill, p8_found, p8_by_item, p9_found, p9_shared)}
+def p9_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document that shares a passage: its class of equal texts and how many others it shares one with."""
+    return spans.shared_links(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_persons, p4_found, p4_matches, p7_sequences, p7_fill, p8_found, p8_by_item, p9_found, p9_shared, p9_links)}
 # Every window of 300 characters of every document, compared as text.
 _SPANS = """with w as (select doc_id, unnest(range(1, length(text) - 298)) s, text from documents where length(text) >= 300),
 g as (select distinct doc_id, substr(text, s, 300) x from w), r as (select x from g group by x having count(*) > 1), m as (select g.* from g join r using (x))"""
 ORACLE = {
     "p9_found": f"{_SPANS} select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from m a join m b on a.x = b.x and a.doc_id < b.doc_id",
+    "p9_links": f"""{_SPANS}, l as (select a.doc_id, count(distinct b.doc_id) links from m a join m b on a.x = b.x and a.doc_id <> b.doc_id group by 1)
+        select l.doc_id, (select min(e.doc_id) from documents e where e.text = d.text) class_id, links::bigint links from l join documents d using (doc_id)""",
     "p9_shared": f"""{_SPANS}, c as (select distinct w.doc_id, unnest(range(w.s, w.s + 300)) p from w join r on substr(w.text, w.s, 300) = r.x)
         select doc_id, length(any_value(text))::bigint chars, count(*)::bigint shared_chars, count(*) / length(any_value(text))::double "share" from c join documents using (doc_id) group by 1""",
 }

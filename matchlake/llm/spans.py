@@ -9,7 +9,8 @@ locally smallest ones (winnowing): any common span of SPAN characters holds, at
 chosen window, as SPAN = GRAM + (number of windows looked over) - 1. That leaves about one row in 75. The second
 pass takes every SPAN window around the repeated ones only, and counts those in full. To find who shares, it takes
 them only around the places where a common span can begin: a repeated window that follows the same chosen window at
-the same distance in every record that has it is inside a span that was met before.
+the same distance in every record that has it is inside a span that was met before. All window hashes roll: prefix sums
+over the text give every window's at once, whatever its length.
 
 Records with equal texts are represented by the first of them and joined back at the end.
 """
@@ -17,10 +18,10 @@ Records with equal texts are represented by the first of them and joined back at
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +29,11 @@ from matchlake.session import broadcast_if_small, cut_lineage, written
 
 SPAN = 300
 GRAM = 150
-#: Candidate records whose places go to every task; beyond this the texts are joined by a shuffle.
-BROADCAST_RECORDS = 100_000
+#: Candidate records, and places in all, that go to every task; beyond this the texts are joined by a shuffle.
+BROADCAST_RECORDS, BROADCAST_PLACES = 100_000, 1_000_000
+#: Records of one head that are paired in one task.
+HEAD_ROWS = 2_000
+_PRIMES = ((2**31 - 1, 1_103_515_245), (2**31 - 19, 1_664_525_003))
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1_000_000
 
@@ -96,24 +100,63 @@ def _fingerprint(batches: Iterator[pd.DataFrame], gram: int, look: int) -> Itera
             yield pd.DataFrame({"doc_id": np.concatenate(ids), "at": np.concatenate(at), "gram": np.concatenate(values).view(np.int64), "link": np.concatenate(links).view(np.int64)})
 
 
+@lru_cache(4)
+def _residues(prime: int, base: int, n: int) -> np.ndarray:
+    """Powers of ``base`` modulo ``prime``; ``n`` is a power of two."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        step = np.uint64(int(out[-1]) * base % prime)
+        out = np.concatenate([out, out * step % np.uint64(prime)])
+    return out
+
+
+def window_hashes(codes: np.ndarray, span: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows of ``span`` code points at ``starts``: one modulo 2**64, one modulo two primes.
+
+    They depend on the windows alone, not on where they stand. Modulo 2**64 texts can be made that collide; modulo primes
+    those don't.
+    """
+    plain = codes.astype(np.uint64) + np.uint64(1)
+    n = 1 << int(len(codes)).bit_length()
+    powers = _powers(_BASE, len(codes))
+    prefix = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(plain * powers, out=prefix[1:])
+    high = (prefix[starts + span] - prefix[starts]) * _powers(pow(_BASE, -1, 2**64), len(codes))[starts]
+    low = np.zeros(len(starts), dtype=np.uint64)
+    for prime, base in _PRIMES:
+        p = np.uint64(prime)
+        np.cumsum(plain * _residues(prime, base, n)[: len(codes)] % p, out=prefix[1:])  # each below 2**31: no overflow
+        value = (prefix[starts + span] - prefix[starts]) % p * _residues(prime, pow(base, -1, prime), n)[starts] % p
+        low = (low << np.uint64(31)) | value
+    return high, low
+
+
 def _windows(batches: Iterator[pd.DataFrame], span: int, gram: int) -> Iterator[pd.DataFrame]:
-    """Every ``span`` window that holds one of the places, with its 128-bit hash and the character before it."""
+    """Every ``span`` window that holds one of the places, with its two hashes and the character before it."""
+    names = ["doc_id", "at", "high", "low", "before"]
     for batch in batches:
-        ids, at, high, low, before = [], [], [], [], []
+        rows, size = [], 0
         for doc, text, places in zip(batch["doc_id"].to_numpy(), batch["text"], batch["places"]):
-            starts = {s for p in places for s in range(max(0, p + gram - span), min(p, len(text) - span) + 1)}
-            for s in sorted(starts):
-                digest = xxhash.xxh3_128_intdigest(text[s : s + span].encode("utf-8", "surrogatepass"))
-                ids.append(doc)
-                at.append(s)
-                high.append((digest >> 64) - 2**63)
-                low.append((digest & (2**64 - 1)) - 2**63)
-                before.append(ord(text[s - 1]) if s else -1)
-            if len(ids) > 100_000:
-                yield pd.DataFrame({"doc_id": ids, "at": at, "high": high, "low": low, "before": before})
-                ids, at, high, low, before = [], [], [], [], []
-        if ids:
-            yield pd.DataFrame({"doc_id": ids, "at": at, "high": high, "low": low, "before": before})
+            places = np.asarray(places, dtype=np.int64)
+            mark = np.zeros(len(text) - span + 2, dtype=np.int32)
+            np.add.at(mark, np.maximum(places + gram - span, 0), 1)
+            np.add.at(mark, np.minimum(places, len(text) - span) + 1, -1)
+            wanted = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            for first in range(0, len(text) - span + 1, _CHUNK):  # pieces overlap by a window less one
+                starts = wanted[(wanted >= first) & (wanted < first + _CHUNK)]
+                if not len(starts):
+                    continue
+                begin = max(0, first - 1)
+                codes = np.frombuffer(text[begin : first + _CHUNK + span - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                high, low = window_hashes(codes, span, starts - begin)
+                before = np.where(starts > 0, codes[np.maximum(starts - begin - 1, 0)].astype(np.int64), -1).astype(np.int32)
+                rows.append((np.full(len(starts), doc), starts, high.view(np.int64), low.view(np.int64), before))
+                size += len(starts)
+                if size > 100_000:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*rows)))))
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*rows)))))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -145,24 +188,33 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, gram: int = GRAM, heads:
         begin = found.groupBy("gram").agg(F.min("link").alias("x"), F.max("link").alias("y"), F.min(F.abs("link")).alias("none"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
         found = found.join(begin.where("a < b and (x < y or none = 0)").select("gram"), "gram")
     places = cut_lineage(found.groupBy("doc_id").agg(F.collect_set("at").alias("places")))
-    texts = docs.join(broadcast_if_small(places, BROADCAST_RECORDS), "doc_id").dropDuplicates(["doc_id"])
+    few = (places.agg(F.sum(F.size("places"))).head()[0] or 0) <= BROADCAST_PLACES
+    texts = docs.join(broadcast_if_small(places, BROADCAST_RECORDS) if few else places, "doc_id").dropDuplicates(["doc_id"])
     windows = written(texts.mapInPandas(lambda batches: _windows(batches, span, gram), "doc_id bigint, at bigint, high bigint, low bigint, before int"))
     repeated = windows.groupBy("high", "low").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("high", "low")
     return windows.join(repeated, ["high", "low"]).select("doc_id", "at", "high", "low", "before"), members
 
 
-def shared_pairs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc_id_a, doc_id_b), smaller id first: the records that share a span of at least ``span`` characters.
+def _class_pairs(docs: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (x, y), x < y, of class representatives that share a span, and the classes.
 
     A pair is made only where a common span begins, that is where the characters before differ or one is missing.
-    Windows inside a span that everybody shares make none, so the work follows the result, not its square.
+    Windows inside a span that everybody shares make none, so the work follows the result, not its square. Records that
+    begin alike are paired in slices, so a head that a third of all records have is spread over many tasks.
     """
     windows, members = repeated_windows(docs, span, gram, heads=True)
-    begins = windows.groupBy("high", "low").agg(F.min("before").alias("x"), F.max("before").alias("y")).where("x < y or x = -1").select("high", "low")
-    heads = windows.join(begins, ["high", "low"]).select("high", "low", "doc_id", "before").distinct()
-    a, b = heads.alias("a"), heads.alias("b")
-    meet = (F.col("a.high") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.doc_id") < F.col("b.doc_id"))
+    begins = windows.groupBy("high", "low").agg(F.min("before").alias("x"), F.max("before").alias("y"), F.count("*").alias("n")).where("x < y or x = -1")
+    heads = written(windows.join(begins.select("high", "low", F.ceil(F.col("n") / HEAD_ROWS).alias("slices")), ["high", "low"]).select("high", "low", "doc_id", "before", "slices").distinct())
+    a = heads.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices"))).alias("a")
+    b = heads.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).alias("b")
+    meet = (F.col("a.high") == F.col("b.high")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.doc_id") < F.col("b.doc_id"))
     pairs = a.join(b, meet & ((F.col("a.before") != F.col("b.before")) | (F.col("a.before") == -1))).select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()
+    return pairs, members
+
+
+def shared_pairs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(doc_id_a, doc_id_b), smaller id first: the records that share a span of at least ``span`` characters."""
+    pairs, members = _class_pairs(docs, span, gram)
     left = members.select(F.col("class_id").alias("x"), F.col("doc_id").alias("l"))
     right = members.select(F.col("class_id").alias("y"), F.col("doc_id").alias("r"))
     across = pairs.join(left, "x").join(right, "y").select("l", "r")
@@ -171,6 +223,17 @@ def shared_pairs(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFra
     return across.unionByName(inside).select(F.least("l", "r").alias("doc_id_a"), F.greatest("l", "r").alias("doc_id_b")).distinct()
 
 
+def shared_links(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(doc_id, class_id, links): one row for each record that shares a span with another: its class of equal texts, named
+    by the smallest id, and the number of other records it shares a span with. Copies are counted, not paired."""
+    pairs, members = _class_pairs(docs, span, gram)
+    sizes = members.where(F.col("chars") >= span).groupBy("class_id").agg(F.count("*").alias("n"))
+    both = pairs.select(F.col("x").alias("class_id"), F.col("y").alias("other")).unionByName(pairs.select(F.col("y").alias("class_id"), F.col("x").alias("other")))
+    across = both.join(sizes.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("across"))
+    links = sizes.join(across, "class_id", "left").select("class_id", (F.coalesce("across", F.lit(0)) + F.col("n") - 1).alias("links")).where("links > 0")
+    return members.join(links, "class_id").select("doc_id", "class_id", "links")
+
+
 def shared_intervals(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, begin, end): the maximal intervals of each record (from 0, end exclusive) that stand elsewhere too."""
     windows, members = repeated_windows(docs, span, gram)

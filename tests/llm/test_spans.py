@@ -38,6 +38,11 @@ def test_pairs_and_intervals_against_all_windows(spark):
         want, held = brute(rows, 20)
         for gram in (20, 9):
             assert {tuple(r) for r in spans.shared_pairs(frame(spark, rows), 20, gram).collect()} == want
+        texts = {}
+        for d, t in rows:
+            texts.setdefault(t, d)
+        linked = {d: sum(d in p for p in want) for d in {x for p in want for x in p}}
+        assert {tuple(r) for r in spans.shared_links(frame(spark, rows), 20, 9).collect()} == {(d, texts[dict(rows)[d]], n) for d, n in linked.items()}
         covered = {}
         for g, docs in held.items():
             if len(docs) > 1:
@@ -65,6 +70,26 @@ def test_spans_that_differ_between_two_chosen_windows(spark):
         assert {tuple(r) for r in spans.shared_pairs(frame(spark, rows), 20, gram).collect()} == brute(rows, 20)[0]
 
 
+def test_hashes_of_windows_are_polynomials():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 0x110000, 700).astype(np.uint32)
+    codes[300:420] = codes[:120]
+    starts = np.array([0, 1, 300, 301, 579, 580])
+    high, low = spans.window_hashes(codes, 120, starts)
+    for s, h, v in zip(starts, high, low):
+        plain = [int(c) + 1 for c in codes[s : s + 120]]
+        assert int(h) == sum(c * pow(spans._BASE, i, 2**64) for i, c in enumerate(plain)) % 2**64
+        a, b = (sum(c * pow(base, i, p) for i, c in enumerate(plain)) % p for p, base in spans._PRIMES)
+        assert int(v) == a << 31 | b
+    assert (high[0], low[0]) == (high[2], low[2]) and high[0] != high[1] != high[3] and len(set(low)) == 5
+
+
+def test_a_head_that_a_third_of_the_records_have(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HEAD_ROWS", 7)
+    rows = [(i, chr(200 + i % 40) + "boilerplate that stands in many records" + chr(300 + i)) for i in range(60)] + [(100 + i, "".join(chr(1000 + (i * 97 + j * j) % 900) for j in range(60))) for i in range(120)]
+    assert {tuple(r) for r in spans.shared_pairs(frame(spark, rows), 30, 11).collect()} == brute(rows, 30)[0]
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert spans.shared_pairs(frame(spark, []), 20, 9).count() == 0
     assert spans.shared_pairs(frame(spark, [(1, "b" * 40)] * 3 + [(None, "b" * 40)]), 20, 9).count() == 0
