@@ -39,6 +39,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all shuffle partitions: for few bytes that mean much work, which would else be gathered into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
     context = spark.sparkContext
