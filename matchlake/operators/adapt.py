@@ -6,8 +6,9 @@ expression. What can't be read becomes null, never an error; what a policy rejec
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +63,46 @@ def map_status(raw: Column, mapping: ProviderMapping) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.statuses.items() for x in kv]), raw)
 
 
-def adapt(raw: DataFrame, record_type: str, mapping: ProviderMapping) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected) of one record type of one provider.
+class UnknownProviderError(KeyError):
+    """No mapping is registered for a provider."""
+
+
+class Registry:
+    """Mappings by provider."""
+
+    def __init__(self, *mappings: ProviderMapping):
+        self._of = {m.provider: m for m in mappings}
+
+    def register(self, mapping: ProviderMapping) -> None:
+        self._of[mapping.provider] = mapping
+
+    def get(self, provider: str) -> ProviderMapping:
+        if provider not in self._of:
+            raise UnknownProviderError(f"no mapping for provider {provider!r}")
+        return self._of[provider]
+
+    def providers(self) -> list[str]:
+        return sorted(self._of)
+
+    def mappings(self) -> dict[str, ProviderMapping]:
+        return dict(self._of)
+
+
+def adapt_all(raw: DataFrame, record_type: str, registry: Registry) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of one record type of all registered providers; providers with equal mappings share one scan."""
+    alike: dict[str, list[str]] = {}
+    for name in registry.providers():
+        m = registry.get(name)
+        if record_type in m.fields:
+            alike.setdefault(repr(replace(m, provider="")), []).append(name)
+    done = [adapt(raw, record_type, registry.get(names[0]), names) for names in alike.values()]
+    if not done:
+        raise UnknownProviderError(f"no mapping has {record_type}")
+    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*done))
+
+
+def adapt(raw: DataFrame, record_type: str, mapping: ProviderMapping, providers: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of one record type of the mapping's provider, or of ``providers`` if given.
 
     ``raw``: provider, provider_record_id, record_type, payload (JSON text), source_batch_id, source_timestamp,
     fetched_at. rows: provenance and the mapped fields; fields without a key are null. rejected: the raw columns
@@ -71,7 +110,7 @@ def adapt(raw: DataFrame, record_type: str, mapping: ProviderMapping) -> tuple[D
     """
     if record_type not in mapping.fields:
         raise ValueError(f"the mapping of {mapping.provider} has no {record_type}")
-    own = raw.where((F.col("provider") == mapping.provider) & (F.col("record_type") == record_type))
+    own = raw.where(F.col("provider").isin(*(providers or [mapping.provider])) & (F.col("record_type") == record_type))
     payload = F.col("payload")
     readable = F.coalesce(F.trim(payload).startswith("{") & F.expr("try_parse_json(payload)").isNotNull(), F.lit(False))
     names = mapping.fields[record_type]

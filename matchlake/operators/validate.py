@@ -79,6 +79,24 @@ def match_issues(rows: DataFrame, now_us: int | None = None, allow_future: bool
     return rows.withColumn("issues", _collected(singles, lists))
 
 
+def record_violations() -> Column:
+    """What no stored match may be, as an array of codes, of rows with issues: checks that go beyond those of an import.
+
+    set_tied, set_number_not_positive, scheduled_with_play (sets, start or completion), winner_before_end (live or
+    cancelled with a winner), completion_before_schedule (without a start).
+    """
+    c = F.col
+    sets = F.coalesce("sets", F.array().cast("array<struct<set_number:int,player_a_points:int,player_b_points:int>>"))
+    code = lambda when, name: F.when(when, F.lit(name))
+    return F.array_compact(F.array(
+        code(F.exists(sets, lambda s: s["player_a_points"] == s["player_b_points"]), "set_tied"),
+        code(F.exists(sets, lambda s: s["set_number"] < 1), "set_number_not_positive"),
+        code((c("status") == "scheduled") & ((F.size(sets) > 0) | c("start_us").isNotNull() | c("done_us").isNotNull()), "scheduled_with_play"),
+        code(c("status").isin("live", "cancelled") & c("winner_external_id").isNotNull(), "winner_before_end"),
+        code(c("start_us").isNull() & (c("done_us") < c("scheduled_us")), "completion_before_schedule"),
+    ))
+
+
 def odds_issues(rows: DataFrame, now_us: int | None = None, allow_future: bool = False, tolerance: int = TOLERANCE_SECONDS) -> DataFrame:
     """``rows`` with issues. Needs captured_us, and match_effective_us (null: not known) beside the fields."""
     c = F.col

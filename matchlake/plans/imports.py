@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions.columns import canonical_json, payload_fingerprint
-from matchlake.operators import adapt, duplicates, timestamps, validate
+from matchlake.operators import adapt, duplicates, ingest, timestamps, validate
+from matchlake.plans import problems
 from matchlake.session import table
 
-PROVIDERS = ("rallydesk", "northserve", "spinledger", "tabelline", "kortdata", "southpaddle", "loopfeed", "zulu_scores")
 #: When the import is taken to run, in the queries that ask what is in the future.
 NOW_US = 1_750_000_000_000_000
-_NORMAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
+#: What arrived before is stored already, in the queries that compare with stored rows.
+STORED_BEFORE = "2025-01-01 00:00:00+00:00"
 
 
 def mapping(provider: str) -> adapt.ProviderMapping:
@@ -36,9 +35,24 @@ def mapping(provider: str) -> adapt.ProviderMapping:
     )
 
 
+def registry(spark: SparkSession, sf: str) -> adapt.Registry:
+    """The providers of provider_feed, a table of a row for each source."""
+    return adapt.Registry(*[mapping(r.provider) for r in table(spark, sf, "provider_feed").select("provider").where("provider is not null").collect()])
+
+
 def _adapted(spark: SparkSession, sf: str, record_type: str) -> DataFrame:
-    raw = table(spark, sf, "raw_record")
-    return reduce(DataFrame.unionByName, [adapt.adapt(raw, record_type, mapping(p))[0] for p in PROVIDERS])
+    return adapt.adapt_all(table(spark, sf, "raw_record"), record_type, registry(spark, sf))[0]
+
+
+def adapt_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each provider's messages of each type: mapped, rejected by the mapping, or covered by none."""
+    raw, known = table(spark, sf, "raw_record"), registry(spark, sf)
+    out = adapt.unmapped(raw, known.mappings()).select("provider", "record_type", F.lit("unmapped").alias("fate"))
+    for kind in adapt.RECORD_TYPES:
+        rows, rejected = adapt.adapt_all(raw, kind, known)
+        out = out.unionByName(rows.select(F.col("provenance.provider").alias("provider"), F.lit(kind).alias("record_type"), F.lit("mapped").alias("fate")))
+        out = out.unionByName(rejected.select("provider", "record_type", F.lit("rejected").alias("fate")))
+    return out.groupBy("provider", "record_type", "fate").agg(F.count("*").alias("messages"))
 
 
 def _source(*fields: str) -> list[Column]:
@@ -127,11 +141,74 @@ def dedupe_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_odds(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.concat_ws(":", "provenance.provider", "provider_match_id", F.lower(F.trim("bookmaker")), "selection_external_id", "captured_at")
-    staged = table(spark, sf, "imported_odds").select(key.alias("id"), "decimal_odds", F.col("provenance.ingested_at").alias("arrived"), F.col("odds_row_id").alias("row_id"))
+    rows = instants(spark, sf, table(spark, sf, "imported_odds"), captured_us="captured_at")
+    captured = F.coalesce(F.col("captured_us").cast("string"), F.col("captured_at"))  # one instant in two forms is one quote
+    key = F.concat_ws(":", *[F.coalesce(c, F.lit("")) for c in (F.col("provenance.provider"), F.col("provider_match_id"), F.lower(F.trim("bookmaker")), F.col("selection_external_id"), captured)])
+    staged = rows.select(key.alias("id"), "decimal_odds", F.col("provenance.ingested_at").alias("arrived"), F.col("odds_row_id").alias("row_id"))
     return duplicates.odds_outcomes(staged, staged.select("id", "decimal_odds").limit(0)).select(F.col("row_id").alias("odds_row_id"), "outcome")
 
 
+def dedupe_stored_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches that arrive after those stored before: what each is to the stored one, or to an earlier one of the rest."""
+    rows = _matches(spark, sf).where("provenance.provider_record_id is not null")
+    old = F.coalesce(F.col("provenance.ingested_at") < F.lit(STORED_BEFORE).cast("timestamp"), F.lit(False))
+    all_ = rows.select(
+        F.concat_ws(":", "provenance.provider", "provenance.provider_record_id").alias("id"), F.col("winner_external_id").alias("winner"), "scheduled_us", "status", "sets",
+        F.col("provenance.ingested_at").alias("arrived"), F.col("match_row_id").alias("row_id"), old.alias("old"),
+    )
+    stored = all_.where("old").groupBy("id").agg(F.min_by(F.struct(*duplicates.CONTENT), F.struct("arrived", "row_id")).alias("s")).select("id", "s.*")
+    return duplicates.match_outcomes(all_.where("not old").drop("old"), stored).select(F.col("row_id").alias("match_row_id"), "outcome", "reason")
+
+
+def match_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that no stored match may be like, per provider and constraint."""
+    rows = _matches(spark, sf).select(F.col("provenance.provider").alias("provider"), F.explode(validate.record_violations()).alias("code"))
+    return rows.groupBy("provider", "code").agg(F.count("*").alias("match_rows"))
+
+
+def external_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Who each external id stands for."""
+    players = table(spark, sf, "imported_player").select(F.col("provenance.provider").alias("provider"), F.col("external_player_id").alias("external_id"))
+    return ingest.external_index(table(spark, sf, "player_identity"), players)
+
+
+def _imported(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    index = external_ids(spark, sf)
+    matches = ingest.match_results(validate.match_issues(_matches(spark, sf), NOW_US), index)
+    odds = instants(spark, sf, table(spark, sf, "imported_odds"), captured_us="captured_at").withColumn("match_effective_us", F.lit(None).cast("bigint"))
+    return matches, ingest.odds_results(validate.odds_issues(odds, NOW_US), index)
+
+
+def import_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each match and quote of an import: its outcome, why, and the id it is stored under."""
+    return ingest.results(*_imported(spark, sf)).select("table_name", "row_id", "internal_id", "outcome", "reason", "detail")
+
+
+def import_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.quarantine(ingest.results(*_imported(spark, sf)))
+
+
+def import_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.conflicts(ingest.results(*_imported(spark, sf)))
+
+
+def import_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and rates of the import per provider, and of all (a null provider)."""
+    matches, odds = _imported(spark, sf)
+    found = lambda df: df.select(F.col("provenance.provider").alias("provider"), F.inline("issues")).select("provider", "severity")
+    return ingest.report(ingest.results(matches, odds), found(matches).unionByName(found(odds)))
+
+
+def historical_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The matches that the import stores, with internal ids; sets that lack a number or a score are left out."""
+    rows = _imported(spark, sf)[0].where("outcome = 'inserted'")
+    whole = F.filter(F.coalesce("sets", F.array().cast("array<struct<set_number:int,player_a_points:int,player_b_points:int>>")), lambda s: s["set_number"].isNotNull() & s["player_a_points"].isNotNull() & s["player_b_points"].isNotNull())
+    return rows.select(
+        F.col("internal_id").alias("id"), F.col("provenance.provider").alias("provider"), "competition_id", F.col("a_id").alias("player_a_id"), F.col("b_id").alias("player_b_id"), "scheduled_us", "start_us", "done_us",
+        "status", "best_of", F.col("winner").alias("winner_id"), F.size(whole).cast("bigint").alias("sets"), F.unix_micros("provenance.ingested_at").alias("ingested_us"),
+    )
+
+
 def cross_provider_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of one customer pair read as matches of two providers; near in time means the same day."""
     orders = table(spark, sf, "orders").select(
@@ -153,7 +230,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         adapt_matches, adapt_odds, adapt_players, adapt_rankings, adapt_competitions, payload_fingerprints, validate_matches, validate_odds, validation_outcomes,
-        severity_histogram, dedupe_matches, dedupe_odds, cross_provider_duplicates, import_metrics,
+        severity_histogram, dedupe_matches, dedupe_stored_matches, dedupe_odds, cross_provider_duplicates, import_metrics,
+        adapt_accounting, match_constraints, external_ids, import_outcomes, import_quarantine, import_conflicts, import_report, historical_matches,
     )
 }
 
