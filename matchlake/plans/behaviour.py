@@ -74,10 +74,10 @@ ORACLE = {
           union all select player, 'high_volatility', least(1, stddev_pop(perf) / 50), count(*) from h where won is not null group by 1 having count(*) >= 2)
         select player, pattern, round(v::double, 9) "value", n::bigint n from l where v is not null and n > 0""",
     "repeated_history": f"{_H} select player, opponent, t \"at\", (count(*) - 1)::bigint repeats from h group by 1, 2, 3 having count(*) > 1",
-    "normalize_odds": """with r as (select *, case when trim(coalesce(provider_match_id, '')) = '' then 'blank match id' when trim(coalesce(bookmaker, '')) = '' then 'blank bookmaker' when decimal_odds is null or isnan(decimal_odds) or decimal_odds <= 1 then 'odds not above 1'
-        when trim(coalesce(captured_at, '')) = '' then 'unreadable time' end reason from imported_odds) select odds_row_id, case when reason is null then trim(bookmaker) else bookmaker end bookmaker, reason from r""",
-    "normalize_matches": f"""with r as (select match_row_id, case lower(trim(status_raw)) {_STATUS} end s, case when trim(coalesce(provenance.provider_record_id, '')) = '' then 'blank match id'
+    "normalize_odds": f"""{imports._T}, q as (select imported_odds.*, i from imported_odds left join tm on tn = 'imported_odds' and ri = odds_row_id), qr as (select *, case when trim(coalesce(provider_match_id, '')) = '' then 'blank match id' when trim(coalesce(bookmaker, '')) = '' then 'blank bookmaker' when decimal_odds is null or isnan(decimal_odds) or decimal_odds <= 1 then 'odds not above 1'
+        when i is null then 'unreadable time' end reason from q) select odds_row_id, case when reason is null then trim(bookmaker) else bookmaker end bookmaker, reason from qr""",
+    "normalize_matches": f"""{imports._T}, q as (select imported_match.*, i from imported_match left join tm on tn = 'imported_match' and fn = 'scheduled_at' and ri = match_row_id), qr as (select match_row_id, case lower(trim(status_raw)) {_STATUS} end s, case when trim(coalesce(provenance.provider_record_id, '')) = '' then 'blank match id'
           when trim(coalesce(player_a_external_id, '')) = '' or trim(coalesce(player_b_external_id, '')) = '' then 'blank player' when trim(player_a_external_id) = trim(player_b_external_id) then 'same player'
-          when case lower(trim(status_raw)) {_STATUS} end is null then 'unknown status' when trim(coalesce(scheduled_at, '')) = '' then 'unreadable time' end reason from imported_match)
-        select match_row_id, case when reason is null then s end status, reason from r""",
+          when case lower(trim(status_raw)) {_STATUS} end is null then 'unknown status' when i is null then 'unreadable time' end reason from q)
+        select match_row_id, case when reason is null then s end status, reason from qr""",
 }

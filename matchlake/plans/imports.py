@@ -239,10 +239,11 @@ _SRC = "provider, provider_record_id, source_batch_id"
 _J = lambda k: f"payload->>'{k}'"
 _TS = lambda k: f"epoch_us(try_cast(payload->>'{k}' as timestamptz))"
 _WORDS = "case payload->>'status' " + " ".join(f"when '{k}' then '{v}'" for k, v in mapping("x").statuses.items()) + " end"
-_N = f"'{_NORMAL}'"
-_M = f"""m as (select *, provenance.provider pv, provenance.provider_record_id rid, case when regexp_matches(scheduled_at, {_N}) then epoch_us(try_cast(scheduled_at as timestamptz)) end su,
-  epoch_us(actual_start_at) st, case when regexp_matches(completed_at, {_N}) then epoch_us(try_cast(completed_at as timestamptz)) end du, list_filter(coalesce(sets, []), lambda s: s.player_a_points is not null and s.player_b_points is not null) sc,
-  list_filter(list_transform(coalesce(sets, []), lambda s: s.set_number), lambda x: x is not null) nums from imported_match)"""
+# The instants that the texts of either table denote, in whatever form, as the SQL of problem 3 reads them.
+_T = f"""{problems._P3.strip()}, tm as (select table_name tn, field_name fn, row_id ri, coalesce(us, epoch_us(first_pass)) i from r)"""
+_M = f"""{_T}, m as (select im.*, provenance.provider pv, provenance.provider_record_id rid, s.i su, epoch_us(actual_start_at) st, c.i du,
+  list_filter(coalesce(sets, []), lambda s: s.player_a_points is not null and s.player_b_points is not null) sc, list_filter(list_transform(coalesce(sets, []), lambda s: s.set_number), lambda x: x is not null) nums
+  from imported_match im left join tm s on s.tn = 'imported_match' and s.fn = 'scheduled_at' and s.ri = match_row_id left join tm c on c.tn = 'imported_match' and c.fn = 'completed_at' and c.ri = match_row_id)"""
 _RULES = [
     ("coalesce(player_a_external_id, '') = ''", 1, "fatal", "missing_player_a", "player_a_external_id", "structural"),
     ("coalesce(player_b_external_id, '') = ''", 1, "fatal", "missing_player_b", "player_b_external_id", "structural"),
@@ -276,7 +277,82 @@ f1 as (select id, c from d where rn = 1), f2 as (select id, min(rn) rn2, arg_min
 e as (select d.*, case when d.rn = 1 then null when f1.c.st = 'scheduled' and f2.rn2 < d.rn then f2.c2 else f1.c end b from d join f1 using (id) left join f2 using (id)),
 g as (select match_row_id, case when rn = 1 then 'inserted' when b is not distinct from c then 'skipped_idempotent' when b.st = 'scheduled' and c.st <> 'scheduled' then 'merged_safe' else 'rejected_conflict' end outcome,
   case when b.w is distinct from c.w then 'winner' when b.s is distinct from c.s then 'scheduled_at' else 'set scores' end r from e)"""
+_CODE = lambda cond, sev, code, path, stage: f"case when {cond} then {{{{'severity': '{sev}', 'code': '{code}', 'field_path': '{path}', 'stage': '{stage}'}}}} end"
+_OV = (
+    "o as (select i.*, tm.i cu, {e} e from imported_odds i left join tm on tn = 'imported_odds' and ri = odds_row_id {join}), vo as (select odds_row_id, u.* from o, unnest(["
+    + ", ".join(
+        _CODE(*x)
+        for x in (
+            ("coalesce(provider_match_id, '') = ''", "fatal", "missing_match_id", "provider_match_id", "structural"),
+            ("coalesce(bookmaker, '') = ''", "fatal", "missing_bookmaker", "bookmaker", "structural"),
+            ("coalesce(selection_external_id, '') = ''", "fatal", "missing_selection", "selection_external_id", "structural"),
+            ("decimal_odds is null", "fatal", "missing_odds", "decimal_odds", "structural"),
+            ("cu is null", "error", "missing_captured_at", "captured_at", "structural"),
+            ("decimal_odds <= 1", "fatal", "invalid_odds", "decimal_odds", "semantic"),
+            ("cu > e + 60000000", "warning", "odds_after_match_lifecycle", "captured_at", "temporal"),
+            (f"cu > {NOW_US} + 60000000", "error", "future_odds_timestamp", "captured_at", "temporal"),
+        )
+    )
+    + "]) w(u) where u is not null)"
+)
+# A whole import: external ids replaced, rows that may not be stored set aside, the rest compared in order of arrival.
+_VIOLATIONS = {
+    "set_tied": "len(list_filter(coalesce(sets, []), lambda s: s.player_a_points = s.player_b_points)) > 0",
+    "set_number_not_positive": "len(list_filter(coalesce(sets, []), lambda s: s.set_number < 1)) > 0",
+    "scheduled_with_play": "status = 'scheduled' and (len(coalesce(sets, [])) > 0 or st is not null or du is not null)",
+    "winner_before_end": "status in ('live', 'cancelled') and winner_external_id is not null",
+    "completion_before_schedule": "st is null and du < su",
+}
+_IX = """ix as (select provider, external_id, coalesce(min(iid), 'player:' || provider || ':' || external_id) internal_id from (
+    select id iid, u.x.provider provider, u.x.provider_player_id external_id from player_identity, unnest(external_ids) u(x)
+    union all select null, provenance.provider, external_player_id from imported_player) where provider is not null and trim(external_id) <> '' group by provider, external_id)"""
+_IM = f"""{_V}, {_IX}, rj as (select match_row_id, bool_or(severity in ('fatal', 'error')) rej, case {_REASON} else 'missing_critical_field' end why from v group by 1),
+mm as (select m.*, a.internal_id a_id, b.internal_id b_id, case when winner_external_id = player_a_external_id then a.internal_id when winner_external_id is not null then b.internal_id end win, case when trim(rid) <> '' then pv || ':' || rid end iid,
+  case when rej then why when status is null then 'unsupported_status' when {" or ".join(f"({x})" for x in _VIOLATIONS.values())} then 'invalid_record' when coalesce(trim(rid), '') = '' or a.internal_id is null or b.internal_id is null then 'missing_critical_field' end bad
+  from m left join rj using (match_row_id) left join ix a on a.provider = pv and a.external_id = player_a_external_id left join ix b on b.provider = pv and b.external_id = player_b_external_id),
+gd as (select iid id, match_row_id, pv, a_id, b_id, su, provenance.ingested_at t, {{'w': win, 's': su, 'st': status, 'x': list_sort(coalesce(sets, []))}} c, row_number() over (partition by iid order by provenance.ingested_at, match_row_id) rn from mm where bad is null),
+g1 as (select id, c from gd where rn = 1), g2 as (select id, min(rn) rn2, arg_min(c, rn) c2 from gd where c.st <> 'scheduled' group by id),
+ge as (select gd.*, case when gd.rn = 1 then null when g1.c.st = 'scheduled' and g2.rn2 < gd.rn then g2.c2 else g1.c end b from gd join g1 using (id) left join g2 using (id)),
+gf as (select *, case when rn = 1 then 'inserted' when b is not distinct from c then 'skipped_idempotent' when b.st = 'scheduled' and c.st <> 'scheduled' then 'merged_safe' else 'rejected_conflict' end oc,
+  case when b.w is distinct from c.w then 'winner' when b.s is distinct from c.s then 'scheduled_at' else 'set scores' end df from ge),
+nw as (select * from gf where oc = 'inserted'),
+tw as (select x.id, arg_min(y.id, {{'t': y.su, 'i': y.id}}) twin from nw x join nw y on least(x.a_id, x.b_id) = least(y.a_id, y.b_id) and greatest(x.a_id, x.b_id) = greatest(y.a_id, y.b_id) and x.pv <> y.pv and abs(x.su - y.su) <= 300000000 and (y.t, y.match_row_id) < (x.t, x.match_row_id) group by 1),
+mr as (select mm.*, case when gf.id is null then 'quarantined' when oc = 'inserted' and twin is not null then 'quarantined' else oc end outcome,
+  coalesce(bad, case when oc = 'inserted' and twin is not null then 'duplicate_conflict' when oc = 'rejected_conflict' then df end) reason, case when oc = 'inserted' then twin end detail from mm left join gf using (match_row_id) left join tw on tw.id = gf.id),
+{_OV.format(e="null::bigint", join="")},
+oj as (select odds_row_id, bool_or(severity in ('fatal', 'error')) rej, case {_REASON} else 'missing_critical_field' end why from vo group by 1),
+om as (select o.*, ix.internal_id sel, case when rej then why when ix.internal_id is null then 'missing_critical_field' end bad from o left join oj using (odds_row_id) left join ix on ix.provider = provenance.provider and ix.external_id = selection_external_id),
+og as (select odds_row_id, concat_ws(':', provenance.provider, provider_match_id, bookmaker, sel, cu::varchar) id, decimal_odds, first_value(decimal_odds) over w f, row_number() over w rn from om where bad is null
+  window w as (partition by concat_ws(':', provenance.provider, provider_match_id, bookmaker, sel, cu::varchar) order by provenance.ingested_at, odds_row_id)),
+orr as (select om.*, og.id iid, case when og.id is null then 'quarantined' when rn = 1 then 'inserted' when f is not distinct from og.decimal_odds then 'skipped_idempotent' else 'rejected_conflict' end outcome,
+  coalesce(bad, case when rn > 1 and f is distinct from og.decimal_odds then 'decimal_odds' end) reason from om left join og using (odds_row_id)),
+res as (select 'imported_match' table_name, match_row_id row_id, pv provider, rid provider_record_id, iid internal_id, outcome, reason, detail from mr
+  union all select 'imported_odds', odds_row_id, provenance.provider, provenance.provider_record_id, iid, outcome, reason, null from orr)"""
+_REP = """count(*)::bigint "read", (count(*) filter (outcome in ('inserted', 'merged_safe', 'skipped_idempotent')))::bigint accepted, (count(*) filter (outcome in ('inserted', 'merged_safe')))::bigint inserted,
+    (count(*) filter (outcome = 'skipped_idempotent'))::bigint skipped, (count(*) filter (outcome = 'quarantined'))::bigint quarantined, (count(*) filter (outcome = 'rejected_conflict'))::bigint rejected"""
 ORACLE = {
+    "adapt_accounting": """with a as (select provider, record_type, case when provider not in (select provider from provider_feed) or record_type not in ('player', 'match', 'odds', 'competition', 'ranking') then 'unmapped'
+        when json_valid(payload) and json_type(payload) = 'OBJECT' then 'mapped' else 'rejected' end fate from raw_record) select provider, record_type, fate, count(*)::bigint messages from a group by all""",
+    "match_constraints": f"{_M}, x as (" + " union all ".join(f"select pv provider, '{k}' code from m where {c}" for k, c in _VIOLATIONS.items()) + ") select provider, code, count(*)::bigint match_rows from x group by all",
+    "external_ids": f"with {_IX} select * from ix",
+    "import_outcomes": f"{_IM} select table_name, row_id, internal_id, outcome, reason, detail from res",
+    "import_quarantine": f"""{_IM}, q as (select concat_ws(':', 'quarantine', table_name[10:], provider, coalesce(provider_record_id, 'row ' || row_id)) id, table_name[10:] record_type, provider, provider_record_id, reason, detail, row_id from res where outcome = 'quarantined')
+        select * from q qualify row_number() over (partition by id order by row_id desc) = 1""",
+    "import_conflicts": f"""{_IM}, q as (select concat_ws(':', 'conflict', table_name[10:], provider, provider_record_id) id, table_name[10:] record_type, internal_id, provider, provider_record_id, reason conflicting_field, row_id from res where outcome = 'rejected_conflict')
+        select * from q qualify row_number() over (partition by id order by row_id desc) = 1""",
+    "import_report": f"""{_IM}, sv as (select pv provider, (issues)::bigint n from v join m using (match_row_id) where severity in ('fatal', 'error') union all select provenance.provider, 1 from vo join o using (odds_row_id) where severity in ('fatal', 'error')),
+        pr as (select provider, {_REP} from res group by 1 union all select null, {_REP} from res), ss as (select provider, sum(n)::bigint severe from sv group by 1 union all select null, sum(n)::bigint from sv)
+        select pr.*, coalesce(severe, 0)::bigint severe, 1 - coalesce(severe, 0) / "read"::double structural_validity_rate, 1 - coalesce(severe, 0) / "read"::double semantic_validity_rate, quarantined / "read"::double ambiguity_rate,
+          skipped / "read"::double exact_duplicate_rate, rejected / "read"::double conflict_rate, accepted / "read"::double accepted_record_rate from pr left join ss on ss.provider is not distinct from pr.provider""",
+    "historical_matches": f"""{_IM} select iid id, pv provider, competition_id, a_id player_a_id, b_id player_b_id, su scheduled_us, st start_us, du done_us, status, best_of, win winner_id,
+        len(list_filter(sc, lambda s: s.set_number is not null))::bigint sets, epoch_us(provenance.ingested_at) ingested_us from mr where outcome = 'inserted'""",
+    "dedupe_stored_matches": f"""{_M}, d0 as (select pv || ':' || rid id, match_row_id, provenance.ingested_at t, coalesce(provenance.ingested_at < '{STORED_BEFORE}'::timestamptz, false) old, {{'w': winner_external_id, 's': su, 'st': status, 'x': list_sort(coalesce(sets, []))}} c from m where rid is not null),
+        sd as (select id, arg_min(c, (t, match_row_id)) c from d0 where old group by id),
+        d as (select *, row_number() over (partition by id order by t, match_row_id) rn from d0 where not old),
+        f1 as (select d.id, coalesce(sd.c, d.c) c, sd.id is not null has from d left join sd using (id) where rn = 1), f2 as (select id, min(rn) rn2, arg_min(c, rn) c2 from d where c.st <> 'scheduled' group by id),
+        e as (select d.*, case when d.rn = 1 and not has then null when f1.c.st = 'scheduled' and f2.rn2 < d.rn then f2.c2 else f1.c end b, has from d join f1 using (id) left join f2 using (id))
+        select match_row_id, case when rn = 1 and not has then 'inserted' when b is not distinct from c then 'skipped_idempotent' when b.st = 'scheduled' and c.st <> 'scheduled' then 'merged_safe' else 'rejected_conflict' end outcome,
+          case when not (rn = 1 and not has) and b is distinct from c and not coalesce(b.st = 'scheduled' and c.st <> 'scheduled', false) then case when b.w is distinct from c.w then 'winner' when b.s is distinct from c.s then 'scheduled_at' else 'set scores' end end reason from e""",
     "adapt_matches": f"""select {_SRC}, {_J('competition_id')} competition_id, {_J('player_a_id')} player_a_external_id, {_J('player_b_id')} player_b_external_id, {_J('status')} status_raw, {_WORDS} status,
         try_cast({_J('best_of')} as int) best_of, {_J('winner_id')} winner_external_id, {_TS('scheduled_at')} scheduled_us, {_TS('completed_at')} completed_us, coalesce(json_array_length(payload, '$.sets'), 0)::bigint set_count,
         coalesce(list_sum(list_transform((payload->'$.sets')::json[], lambda s: (s->>'a')::bigint)), 0)::bigint points_a, coalesce(list_sum(list_transform((payload->'$.sets')::json[], lambda s: (s->>'b')::bigint)), 0)::bigint points_b,
@@ -286,26 +362,16 @@ ORACLE = {
     "adapt_players": f"select {_SRC}, {_J('name')} \"name\", {_J('country')} country, try_cast({_J('ranking_hint')} as int) ranking_hint, provider_record_id external_player_id from raw_record where record_type = 'player'",
     "adapt_rankings": f"select {_SRC}, {_J('player_id')} player_external_id, try_cast({_J('ranking')} as int) ranking, try_cast({_J('ranking_points')} as double) ranking_points, {_TS('effective_at')} effective_us from raw_record where record_type = 'ranking'",
     "adapt_competitions": f"select {_SRC}, {_J('name')} \"name\", {_J('country')} country, {_J('level')} \"level\", {_J('season')} season, try_cast({_J('indoor')} as boolean) indoor from raw_record where record_type = 'competition'",
-    "validate_matches": f"with {_V} select match_row_id, severity, code, field_path, stage, issues from v",
-    "severity_histogram": f"with {_V} select severity, sum(issues)::bigint issues from v group by 1",
-    "validation_outcomes": f"""with {_V}, o as (select m.match_row_id, any_value(m.pv) provider, case when bool_or(severity in ('fatal', 'error')) then 'reject' else 'accept' end outcome, case {_REASON} else 'missing_critical_field' end r
+    "validate_matches": f"{_V} select match_row_id, severity, code, field_path, stage, issues from v",
+    "severity_histogram": f"{_V} select severity, sum(issues)::bigint issues from v group by 1",
+    "validation_outcomes": f"""{_V}, o as (select m.match_row_id, any_value(m.pv) provider, case when bool_or(severity in ('fatal', 'error')) then 'reject' else 'accept' end outcome, case {_REASON} else 'missing_critical_field' end r
         from m left join v on v.match_row_id = m.match_row_id group by 1) select provider, outcome, case when outcome = 'reject' then r end reason, count(*)::bigint match_rows from o group by all""",
-    "validate_odds": f"""with {_M}, f as (select pv, rid, arg_min({{'e': coalesce(du, st, su)}}, match_row_id).e e from m where rid is not null group by all),
-        o as (select i.*, case when regexp_matches(captured_at, {_N}) then epoch_us(try_cast(captured_at as timestamptz)) end cu, f.e from imported_odds i left join f on f.pv = i.provenance.provider and f.rid = i.provider_match_id)
-        select odds_row_id, u.* from o, unnest([
-          case when coalesce(provider_match_id, '') = '' then {{'severity': 'fatal', 'code': 'missing_match_id', 'field_path': 'provider_match_id', 'stage': 'structural'}} end,
-          case when coalesce(bookmaker, '') = '' then {{'severity': 'fatal', 'code': 'missing_bookmaker', 'field_path': 'bookmaker', 'stage': 'structural'}} end,
-          case when coalesce(selection_external_id, '') = '' then {{'severity': 'fatal', 'code': 'missing_selection', 'field_path': 'selection_external_id', 'stage': 'structural'}} end,
-          case when decimal_odds is null then {{'severity': 'fatal', 'code': 'missing_odds', 'field_path': 'decimal_odds', 'stage': 'structural'}} end,
-          case when cu is null then {{'severity': 'error', 'code': 'missing_captured_at', 'field_path': 'captured_at', 'stage': 'structural'}} end,
-          case when decimal_odds <= 1 then {{'severity': 'fatal', 'code': 'invalid_odds', 'field_path': 'decimal_odds', 'stage': 'semantic'}} end,
-          case when cu > e + 60000000 then {{'severity': 'warning', 'code': 'odds_after_match_lifecycle', 'field_path': 'captured_at', 'stage': 'temporal'}} end,
-          case when cu > {NOW_US} + 60000000 then {{'severity': 'error', 'code': 'future_odds_timestamp', 'field_path': 'captured_at', 'stage': 'temporal'}} end]) w(u) where u is not null""",
-    "dedupe_matches": f"with {_DD} select match_row_id, outcome, case when outcome = 'rejected_conflict' then r end reason from g",
-    "import_metrics": f"""with {_DD}, c as (select pv provider, count(*) n, count(*) filter (outcome = 'inserted') i, count(*) filter (outcome = 'merged_safe') mg, count(*) filter (outcome = 'skipped_idempotent') sk, count(*) filter (outcome = 'rejected_conflict') cf
+    "validate_odds": f"{_M}, f as (select pv, rid, arg_min({{'e': coalesce(du, st, su)}}, match_row_id).e e from m where rid is not null group by all), {_OV.format(e='f.e', join='left join f on f.pv = i.provenance.provider and f.rid = i.provider_match_id')} select * from vo",
+    "dedupe_matches": f"{_DD} select match_row_id, outcome, case when outcome = 'rejected_conflict' then r end reason from g",
+    "import_metrics": f"""{_DD}, c as (select pv provider, count(*) n, count(*) filter (outcome = 'inserted') i, count(*) filter (outcome = 'merged_safe') mg, count(*) filter (outcome = 'skipped_idempotent') sk, count(*) filter (outcome = 'rejected_conflict') cf
         from g join m using (match_row_id) group by 1) select provider, n records, i inserted, mg merged, sk skipped, cf conflicts, i + mg + sk accepted, sk / n::double duplicate_rate, cf / n::double conflict_rate from c""",
-    "dedupe_odds": """with d as (select odds_row_id, decimal_odds, first_value(decimal_odds) over w f, row_number() over w rn from imported_odds
-        window w as (partition by concat_ws(':', provenance.provider, provider_match_id, lower(trim(bookmaker)), selection_external_id, captured_at) order by provenance.ingested_at, odds_row_id))
+    "dedupe_odds": f"""{_T}, d as (select odds_row_id, decimal_odds, first_value(decimal_odds) over w f, row_number() over w rn from imported_odds left join tm on tn = 'imported_odds' and ri = odds_row_id
+        window w as (partition by provenance.provider, coalesce(provider_match_id, ''), coalesce(lower(trim(bookmaker)), ''), coalesce(selection_external_id, ''), coalesce(i::varchar, captured_at, '') order by provenance.ingested_at, odds_row_id))
         select odds_row_id, case when rn = 1 then 'inserted' when f is not distinct from decimal_odds then 'skipped_idempotent' else 'rejected_conflict' end outcome from d""",
     "cross_provider_duplicates": """with o as (select o_orderkey id, o_orderkey % 2 p, o_custkey % 10 a, o_orderkey % 7 + 10 b, epoch_us(o_orderdate) t from orders)
         select x.id, arg_min(y.id, {'t': y.t, 'i': y.id}) duplicate_of from o x join o y on x.a = y.a and x.b = y.b and x.p <> y.p and abs(x.t - y.t) <= 86400000000 group by x.id""",
