@@ -1,9 +1,9 @@
 """Messages delivered more than once: exactly one delivery of each message is kept.
 
-Method: exact quotient tables. The identifier of a message is written, without loss, into a fixed number of
-56-bit words (what is longer stays as a binary overflow). A Feistel permutation built of xxhash64 and XOR
-scatters the words; it is a bijection, so no two identifiers can meet. The top bits of the first word are the
-quotient, the rest is the remainder and is stored complete. The table is Spark's hash aggregation map, keyed and
+Method: exact quotient tables. The identifier of a message is written, without loss, into bytes: a head of 56 bits and
+the body. A Feistel network permutes the head: its halves are XORed in turn with the xxhash64 of the other half (and of the
+body, at first); each step can be undone from its own output, so the whole is a bijection and no two identifiers can meet. The top bits of the head are the quotient, its
+other bits and the body are the remainder, which is stored complete. The table is Spark's hash aggregation map, keyed and
 exchanged by (quotient, complete remainder): it is filled on the map side first, so a message that makes up a third of
 all rows leaves each task as one row, and it spills instead of failing.
 
@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, TimestampNTZType, TimestampType
 
-from matchlake.session import written
+from matchlake.session import broadcast_if_small, written
 
 QUOTIENT_BITS = 20
-WORDS = 8
-WORD_BYTES = 7
+HEAD_BYTES = 7
+#: Messages with several first arrivals that go to every task; beyond this all rows are joined with them by a shuffle.
+TIES = 50_000
 _BLANKS = r"^[\s\u0000   ﻿]+|[\s\u0000   ﻿]+$"
 
 
@@ -40,29 +41,23 @@ def _prefixed(part: Column) -> Column:
     return F.when(part.isNull(), F.lit("-")).otherwise(F.concat(F.length(part).cast("string"), F.lit(":"), part))
 
 
-def with_quotient(df: DataFrame, parts: Sequence[Column], words: int = WORDS, bits: int = QUOTIENT_BITS) -> tuple[DataFrame, list[str]]:
+def with_quotient(df: DataFrame, parts: Sequence[Column], bits: int = QUOTIENT_BITS) -> tuple[DataFrame, list[str]]:
     """``df`` with quotient and complete remainder of the identifier made of ``parts``, and their column names.
 
     Equal quotient and remainder mean equal identifiers, and the other way round.
     """
-    digits = 2 * WORD_BYTES
-    width = digits * words
-    out = df.withColumn("__encoded", F.hex(F.encode(F.concat(*[_prefixed(p) for p in parts]), "utf-8")))
-    out = out.withColumn("__padded", F.rpad(F.substring("__encoded", 1, width), width, "0"))
-    out = out.withColumn("__overflow", F.expr(f"unhex(substring(__encoded, {width + 1}))"))
-    out = out.withColumns({f"__x{i}": F.conv(F.substring("__padded", 1 + digits * i, digits), 16, 10).cast("bigint") for i in range(words)})
-    xs = [F.col(f"__x{i}") for i in range(words)]
-    # Round 1: the head is XORed with a hash of all the rest; round 2: each other word with a hash of the head;
-    # round 3 as round 1. Each step can be undone from its own output, so the whole is a permutation.
-    out = out.withColumn("__h1", xs[0].bitwiseXOR(F.xxhash64(*xs[1:], F.col("__overflow"))))
-    out = out.withColumns({f"__r{i}": xs[i].bitwiseXOR(F.xxhash64(F.col("__h1"), F.lit(i))) for i in range(1, words)})
-    tail = [F.col(f"__r{i}") for i in range(1, words)]
-    out = out.withColumn("__h2", F.col("__h1").bitwiseXOR(F.xxhash64(*tail, F.col("__overflow"))))
-    out = out.withColumns(
-        {"__quotient": F.shiftrightunsigned("__h2", 64 - bits), "__r0": F.col("__h2").bitwiseAND(F.lit((1 << (64 - bits)) - 1))}
-    )
-    names = ["__quotient", *[f"__r{i}" for i in range(words)], "__overflow"]
-    return out, names
+    text = F.encode(F.concat(*[_prefixed(p) for p in parts]), "utf-8")
+    # Each step is computed once: as rows of one element, they aren't copied into the expressions that use them.
+    out = df.select("*", F.explode(F.array(text)).alias("__bytes"))
+    head = F.conv(F.rpad(F.hex(F.substring("__bytes", 1, HEAD_BYTES)), 2 * HEAD_BYTES, "0"), 16, 10).cast("bigint")
+    out = out.select("*", F.explode(F.array(F.struct(head.alias("head"), F.expr(f"substring(__bytes, {HEAD_BYTES + 1})").alias("body")))).alias("__id_"))
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    a, b = F.shiftrightunsigned(F.col("__id_.head"), 32), low(F.col("__id_.head"))
+    out = out.select("*", F.explode(F.array(a.bitwiseXOR(low(F.xxhash64(b, F.col("__id_.body")))))).alias("__a"))
+    out = out.select("*", F.explode(F.array(b.bitwiseXOR(low(F.xxhash64("__a"))))).alias("__b"))
+    top = F.col("__a").bitwiseXOR(low(F.xxhash64("__b")))
+    out = out.withColumns({"__quotient": F.shiftrightunsigned(top, 32 - bits), "__rest": F.shiftleft(top.bitwiseAND(F.lit((1 << (32 - bits)) - 1)), 32).bitwiseOR(F.col("__b")), "__body": F.col("__id_.body")})
+    return out.drop("__bytes", "__id_", "__a", "__b"), ["__quotient", "__rest", "__body"]
 
 
 def _order(first: Sequence[str]) -> Column:
@@ -101,7 +96,7 @@ def _first_of_each(named: DataFrame, names: list[str], order: Sequence[str]) ->
     first = table.where(settled).select(_row_of(F.col("__low")).alias(order[-1]))
     if (tied := table.where(~F.coalesce(settled, F.lit(False))).select(*names)).isEmpty():
         return first
-    again = named.join(tied, names, "left_semi").groupBy(*names).agg(F.min(_order(order)).alias("__first"))
+    again = named.join(broadcast_if_small(tied, TIES), names, "left_semi").groupBy(*names).agg(F.min(_order(order)).alias("__first"))
     return first.unionByName(again.select(F.col("__first").getField(order[-1]).cast("bigint").alias(order[-1])))
 
 
@@ -110,7 +105,6 @@ def kept_deliveries(
     key: Sequence[str] = ("provider", "record_type"),
     id_column: str = "provider_record_id",
     order: Sequence[str] = ("fetched_at", "source_batch_id", "delivery_id"),
-    words: int = WORDS,
 ) -> DataFrame:
     """One row for each message: the last of the ``order`` columns, the row id, of its first delivery.
 
@@ -120,7 +114,7 @@ def kept_deliveries(
     """
     row_id = order[-1]
     base = df.select(*[F.col(c) for c in dict.fromkeys([*key, id_column, *order])]).withColumn("__id", normalised_id(F.col(id_column)))
-    named, names = with_quotient(base.where(F.col("__id").isNotNull()), [*[F.col(c) for c in key], F.col("__id")], words)
+    named, names = with_quotient(base.where(F.col("__id").isNotNull()), [*[F.col(c) for c in key], F.col("__id")])
     kinds = [df.schema[c].dataType for c in (order[0], row_id)]
     if isinstance(kinds[0], (TimestampType, TimestampNTZType)) and isinstance(kinds[1], (LongType, IntegerType)):
         kept = _first_of_each(named, names, order).select(F.col(row_id).cast(kinds[1]).alias(row_id))
