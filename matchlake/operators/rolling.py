@@ -142,7 +142,12 @@ def result_streak(history: DataFrame, probes: DataFrame, block_days: int = BLOCK
     whose number is a running maximum, made in blocks like the sums.
     """
     line = _timeline(history, probes, ["player"], {"n": F.lit(1).cast("bigint"), "won": F.coalesce(F.col("won"), F.lit(2)).cast("bigint")}, block_days)
-    marks = {f"last{r}": F.max(F.when((F.col("__hist") == 1) & (F.col("__own_won") == r), F.col("n"))) for r in (0, 1, 2)}
+    return streaks(line, "won")
+
+
+def streaks(line: DataFrame, result: str) -> DataFrame:
+    """(probe, player, result_streak) of a time line with n and ``result``: 1 won, 0 lost, 2 without a result."""
+    marks = {f"last{r}": F.max(F.when((F.col("__hist") == 1) & (F.col(f"__own_{result}") == r), F.col("n"))) for r in (0, 1, 2)}
     tops = line.groupBy("player", "__block").agg(*[c.alias(n) for n, c in marks.items()])
     earlier = Window.partitionBy("player").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     base = tops.select("player", "__block", *[F.max(n).over(earlier).alias(f"__b_{n}") for n in marks])

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions.columns import DAY_US, HOUR_US
-from matchlake.operators import asof, matchup, rolling
+from matchlake.operators import asof, matchup, rolling, snapshots
 from matchlake.operators.perspective import perspectives
 from matchlake.plans import derived
+from matchlake.session import written
 
 
 def _probes(m: DataFrame) -> DataFrame:
@@ -18,8 +19,8 @@ def _probes(m: DataFrame) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = derived.matches(spark, sf)
-    return m, perspectives(m), _probes(m)
+    m = written(derived.matches(spark, sf))
+    return m, written(perspectives(m)), _probes(m)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -87,7 +88,29 @@ def matchup_differentials(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(matchup.differentials(side("a"), side("b"))).withColumnRenamed("probe", "match_id")
 
 
-QUERIES = {f.__name__: f for f in (rolling_win_rate, rolling_windows, rest_and_workload, form_and_volatility, result_streak, head_to_head, ranking_latest_before, odds_at_or_before, matchup_differentials)}
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    m = derived.matches(spark, sf).withColumn("completeness", F.when(F.size("sets") > 0, 100).otherwise(80))
+    return snapshots.snapshots(m, derived.rankings(spark, sf).withColumn("id", F.col("ranking")))
+
+
+def feature_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that was known of each completed match at its schedule, in one row."""
+    c = F.col
+    side = lambda s: [
+        *[F.element_at(c(f"player_{s}_features.windows"), k + 1)[x].alias(f"{s}_{x}_{n}") for k, n in enumerate((0, *rolling.WINDOWS)) for x in ("matches_played", "win_rate", "point_win_rate")],
+        *[c(f"player_{s}_features.{x}").alias(f"{s}_{x}") for x in ("observation_count", "recency_weighted_win_rate", "volatility", "rest_hours", "matches_24h", "matches_7d", "result_streak", "ranking")],
+    ]
+    pair = ("meetings", "win_rate_a", "days_since_last", "form_differential", "rest_differential_hours", "workload_differential", "volatility_differential", "ranking_differential")
+    known = ("repository_fingerprint", "input_fingerprint", "data_quality_score", "newest_source_us")
+    rows = _snapshots(spark, sf).select("target_match_id", "as_of_us", "player_a_id", "player_b_id", *side("a"), *side("b"), *[c(f"matchup_features.{x}").alias(x) for x in pair], *[c(f"provenance.{x}").alias(x) for x in known], F.concat_ws(",", "provenance.warnings").alias("warnings"), F.concat_ws(",", "provenance.missing_feature_names").alias("missing"))
+    return _rounded(rows)
+
+
+def engine_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return snapshots.engine_inputs(_snapshots(spark, sf)).withColumn("unconvertible", F.size("unconvertible").cast("bigint"))
+
+
+QUERIES = {f.__name__: f for f in (rolling_win_rate, rolling_windows, rest_and_workload, form_and_volatility, result_streak, head_to_head, ranking_latest_before, odds_at_or_before, matchup_differentials, feature_snapshots, engine_inputs)}
 
 _SIDES = "pr as (select probe match_id, u.side, u.pl player, cut from probe, unnest([{'side': 'a', 'pl': pa}, {'side': 'b', 'pl': pb}]) w(u))"
 _WITH = f"with {derived.SQL}, {_SIDES}, h as (select pr.match_id, side, pr.cut, p.* exclude (match_id), p.match_id src, row_number() over (partition by pr.match_id, side order by p.t desc, p.match_id::varchar desc) rn from pr left join p on p.player = pr.player and p.t < pr.cut)"
@@ -112,15 +135,40 @@ _REST = f"""r as (select match_id, side, (any_value(cut) - max(t))::double / {HO
 _RANK = """q as (select o_custkey % n player, date_trunc('quarter', o_orderdate) q, sum(round(o_totalprice * 100)::bigint) c from orders, np group by all),
 rk as (select player, epoch_us((q + interval 3 month)::timestamp) t, rank() over (partition by q order by c desc, player)::int ranking from q),
 k as (select pr.match_id, side, arg_max(ranking, rk.t) ranking from pr left join rk on rk.player = pr.player and rk.t < pr.cut group by all)"""
+_LASTN = [(0, "t is not null"), *((n, f"rn <= {n}") for n in rolling.WINDOWS)]
+_LAST = ", ".join(f"(count(t) filter ({w}))::bigint matches_played_{k}, sum(won) filter ({w}) / nullif(count(won) filter ({w}), 0)::double win_rate_{k}, sum(pf) filter ({w}) / nullif(sum(pf + pg) filter ({w}), 0)::double point_win_rate_{k}" for k, w in _LASTN)
+_HELD = "coalesce(sum(case when n > 0 then 100 else 80 end) filter (t is not null), 0)::bigint comp, " + ", ".join(f"coalesce(sum(('0x' || md5(src::varchar)[{1 + 10 * k}:{10 + 10 * k}])::bigint) filter (t is not null), 0)::bigint d{k}" for k in (0, 1))
+_STREAK = """s as (select match_id, side, rn, won, t, first_value(won) over w fw, sum((won is distinct from fw0)::int) over (partition by match_id, side order by rn) breaks
+        from (select *, first_value(won) over (partition by match_id, side order by rn) fw0 from h) window w as (partition by match_id, side order by rn)),
+sk as (select match_id, side, (coalesce(any_value(case when fw = 1 then 1 when fw = 0 then -1 else 0 end), 0) * count(*) filter (breaks = 0 and t is not null))::bigint result_streak from s group by all)"""
+_SNAP = f"""{_WITH}, {_REST}, {_FORM}, {_RANK}, {_STREAK},
+sw as (select match_id, side, count(t)::bigint observation_count, max(t) newest, {_LAST}, {_HELD} from h group by all),
+sd as (select * from sw join r using (match_id, side) join f using (match_id, side) join k using (match_id, side) join sk using (match_id, side)),
+g as (select pb.probe, pb.cut, p.*, p.match_id src from probe pb left join p on p.player = pb.pa and p.opponent = pb.pb and p.t < pb.cut),
+hb as (select probe match_id, any_value(cut) cut, count(t)::bigint meetings, sum(won) / nullif(count(won), 0)::double win_rate_a, (any_value(cut) - max(t))::double / {DAY_US} ago, {_HELD} from g group by 1),
+sn as (select hb.match_id, hb.cut, probe.pa, probe.pb, a, b, hb, substr(sha256(concat_ws('|', a.observation_count, a.d0, a.d1, b.observation_count, b.d0, b.d1, hb.meetings, hb.d0, hb.d1)), 1, 16) fp,
+  greatest(0, least(100, coalesce((a.comp + b.comp - hb.comp)::double / nullif(a.observation_count + b.observation_count - hb.meetings, 0), 100) - 15 * (a.observation_count < 1)::int - 15 * (b.observation_count < 1)::int - 5 * (hb.meetings = 0)::int))::double quality
+  from hb join probe on probe.probe = hb.match_id join sd a on a.match_id = hb.match_id and a.side = 'a' join sd b on b.match_id = hb.match_id and b.side = 'b')"""
+_SIDE = lambda s: ", ".join(
+    [f"{s}.matches_played_{k} {s}_matches_played_{k}, round({s}.win_rate_{k}, 9) + 0.0 {s}_win_rate_{k}, round({s}.point_win_rate_{k}, 9) + 0.0 {s}_point_win_rate_{k}" for k, _ in _LASTN]
+    + [f"{s}.{x} {s}_{x}" for x in ("observation_count", "matches_24h", "matches_7d", "result_streak", "ranking")]
+    + [f"round({s}.{x}, 9) + 0.0 {s}_{x}" for x in ("recency_weighted_win_rate", "volatility", "rest_hours")]
+)
 ORACLE = {
+    "feature_snapshots": f"""{_SNAP} select match_id target_match_id, cut as_of_us, pa player_a_id, pb player_b_id, {_SIDE("a")}, {_SIDE("b")}, hb.meetings, round(hb.win_rate_a, 9) + 0.0 win_rate_a, round(hb.ago, 9) + 0.0 days_since_last,
+        round(a.win_rate_0 - b.win_rate_0, 9) + 0.0 form_differential, round(a.rest_hours - b.rest_hours, 9) + 0.0 rest_differential_hours, a.matches_7d - b.matches_7d workload_differential, round(a.volatility - b.volatility, 9) + 0.0 volatility_differential,
+        (b.ranking - a.ranking)::double + 0.0 ranking_differential, fp repository_fingerprint, substr(sha256(concat_ws('|', match_id, pa, pb, strftime(make_timestamp(cut), '%Y-%m-%dT%H:%M:%S') || '+00:00', '1.0.0', '1.0.0', fp)), 1, 16) input_fingerprint,
+        round(quality, 9) + 0.0 data_quality_score, greatest(a.newest, b.newest) newest_source_us,
+        concat_ws(',', case when a.observation_count < 1 then 'player_a: too few observations' end, case when b.observation_count < 1 then 'player_b: too few observations' end, case when hb.meetings = 0 then 'no meetings' end) warnings,
+        concat_ws(',', case when a.win_rate_0 is null then 'player_a.win_rate' end, case when b.win_rate_0 is null then 'player_b.win_rate' end, case when a.recency_weighted_win_rate is null then 'player_a.recency_weighted_win_rate' end,
+          case when b.recency_weighted_win_rate is null then 'player_b.recency_weighted_win_rate' end, case when hb.win_rate_a is null then 'matchup.player_a_win_rate' end) missing from sn""",
+    "engine_inputs": f"""{_SNAP}, w as (select *, hb.meetings m, case when hb.meetings > 0 and hb.win_rate_a is not null then round_even(hb.meetings * hb.win_rate_a, 0)::bigint end wa from sn)
+        select match_id target_match_id, coalesce(wa, 0)::bigint wins_a, case when wa is null then 0 else m - wa end::bigint wins_b, case when wa is not null then cut - round(hb.ago * {DAY_US})::bigint end last_played_us, 8::bigint unconvertible from w""",
     "rolling_windows": f"{_WITH} {_WINDOWS}",
     "rolling_win_rate": f"{_WITH} select match_id, side, window_size, matches_played, win_rate from ({_WINDOWS}) where window_size in (0, 5)",
     "rest_and_workload": f"{_WITH}, {_REST} select r.match_id, r.side, pr.player, rest_hours, matches_24h, matches_7d from r join pr using (match_id, side)",
     "form_and_volatility": f"{_WITH}, {_FORM} select f.match_id, f.side, pr.player, round(recency_weighted_win_rate, 9) + 0.0 recency_weighted_win_rate, round(volatility, 9) + 0.0 volatility from f join pr using (match_id, side)",
-    "result_streak": f"""{_WITH}, s as (select match_id, side, rn, won, t, first_value(won) over w fw, sum((won is distinct from fw0)::int) over (partition by match_id, side order by rn) breaks
-        from (select *, first_value(won) over (partition by match_id, side order by rn) fw0 from h) window w as (partition by match_id, side order by rn))
-        select match_id, side, pr.player, (coalesce(any_value(case when fw = 1 then 1 when fw = 0 then -1 else 0 end), 0) * count(*) filter (breaks = 0 and t is not null))::bigint result_streak
-        from s join pr using (match_id, side) group by all""",
+    "result_streak": f"{_WITH}, {_STREAK} select sk.match_id, sk.side, pr.player, result_streak from sk join pr using (match_id, side)",
     "head_to_head": f"""with {derived.SQL}, g as (select pb.probe, pb.cut, pb.competition_id pc, pb.best_of pf2, p.*, row_number() over (partition by pb.probe order by t desc, match_id::varchar desc) rn
           from probe pb left join p on p.player = pb.pa and p.opponent = pb.pb and p.t < pb.cut)
         select probe match_id, count(t)::bigint meetings, sum(won) / nullif(count(won), 0)::double win_rate_a, 1 - sum(won) / nullif(count(won), 0)::double win_rate_b,
