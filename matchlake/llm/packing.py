@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.session import broadcast_if_small, written
+from matchlake.session import written
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -173,7 +173,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     starts = items.groupBy("tokens", "__slice").agg(F.count("*").alias("__c")).select("tokens", "__slice", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__first"))
     # Level two: the number within the slice.
     inside = Window.partitionBy("tokens", "__slice").orderBy("doc_id", "part")
-    numbered = items.withColumn("__r", F.row_number().over(inside) - 1).join(broadcast_if_small(starts, _SLICES * capacity), ["tokens", "__slice"])
+    numbered = items.withColumn("__r", F.row_number().over(inside) - 1).join(starts, ["tokens", "__slice"])  # both are there by length and slice
     numbered = numbered.select("doc_id", "part", "tokens", (F.col("__r") + F.col("__first")).alias("__r"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
