@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.columns import fingerprint, short_hash
-from matchlake.session import cut_lineage
+from matchlake.functions.columns import short_hash
+from matchlake.session import broadcast_if_small, written
 
-FORBIDDEN = ("winner", "winner_id", "label", "result", "completed_us", "done_us")
+#: Names of what is only known after a match.
+FORBIDDEN = ("winner_id", "player_a_won", "result", "final_winner", "winner")
 
 
 def with_cutoff(matches: DataFrame, policy: str = "scheduled") -> DataFrame:
@@ -46,22 +47,24 @@ def id_digest(ids: Column) -> Column:
     return short_hash(F.concat_ws("|", F.count(ids).cast("string"), F.sum(F.xxhash64(ids.cast("string")).cast("decimal(20,0)")).cast("string")))
 
 
-def list_digest(ids: Column) -> Column:
-    """Fingerprint of a short list of ids, as the hash of the sorted ids; for lists that are stored anyway."""
-    return fingerprint(F.collect_list(ids.cast("string")))
+#: Rows that one part of an order holds.
+PART_ROWS = 500_000
 
 
-def positions(of: DataFrame, order: Sequence[str] = ("cutoff_us", "match_id"), shards: int = 64) -> DataFrame:
+def positions(of: DataFrame, order: Sequence[str] = ("cutoff_us", "match_id"), part_rows: int = PART_ROWS) -> DataFrame:
     """``of`` with pos, its 0-based place in the order, and total; without sorting everything in one task.
 
-    Rows are range-partitioned by the order, numbered inside their part, and moved on by what earlier parts hold.
+    Rows are range-partitioned by the order into parts of about ``part_rows``, numbered inside their part, and moved on by
+    what earlier parts hold. The parts are numbered in one task, a row each.
     """
+    of = written(of)
+    shards = max(8, -(-of.count() // part_rows))
     # Written once: the bounds of the parts come from a sample and must not be drawn twice.
-    ranged = cut_lineage(of.repartitionByRange(shards, *order).withColumn("__part", F.spark_partition_id()))
+    ranged = written(of.repartitionByRange(shards, *order).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy("__part").orderBy(*order)
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     base = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("total"))
-    return ranged.withColumn("__i", F.row_number().over(inside) - 1).join(F.broadcast(base), "__part").withColumn("pos", F.col("__base") + F.col("__i")).drop("__part", "__i", "__base")
+    return ranged.withColumn("__i", F.row_number().over(inside) - 1).join(broadcast_if_small(base), "__part").withColumn("pos", F.col("__base") + F.col("__i")).drop("__part", "__i", "__base")
 
 
 def holdout(placed: DataFrame, train: float = 0.6, validation: float = 0.2) -> DataFrame:
@@ -95,19 +98,30 @@ def rolling_folds(placed: DataFrame, window: int, step: int) -> DataFrame:
     return each.withColumn("split", F.when(F.col("pos") < F.col("fold") * step + window, "train").otherwise("test"))
 
 
-def leakage_report(of: DataFrame, sources: DataFrame, matches: DataFrame, splits: DataFrame | None = None, feature_names: Sequence[str] = ()) -> DataFrame:
+def leakage_report(
+    of: DataFrame, sources: DataFrame, matches: DataFrame, splits: DataFrame | None = None, feature_names: Sequence[str] = (), odds: DataFrame | None = None, snapshots: DataFrame | None = None
+) -> DataFrame:
     """(check, passed, violations) of a dataset; every check counts rows, none collects them.
 
-    ``of``: match_id, cutoff_us; ``sources``: match_id, source_id (the matches whose data went into an example);
-    ``matches``: id, provider, provider_match_id, at (effective microseconds); ``splits``: match_id, split, pos.
+    ``of``: match_id, cutoff_us; ``sources``: match_id, source_id (the matches whose data went into an example; the newest of
+    each side stands for those before it); ``matches``: id, provider, provider_match_id, at (effective microseconds);
+    ``splits``: match_id, split, pos; ``feature_names``: all columns that go into training, case aside; ``odds``: match_id,
+    at of the quotes used; ``snapshots``: target_match_id, as_of_us of the features, one for each example.
     """
-    joined = sources.join(of.select("match_id", "cutoff_us"), "match_id").join(matches.select(F.col("id").alias("source_id"), "at"), "source_id")
+    cut = of.select("match_id", "cutoff_us")
+    joined = sources.join(cut, "match_id").join(matches.select(F.col("id").alias("source_id"), "at"), "source_id")
     checks = [
         ("target_not_in_sources", sources.where("match_id = source_id")),
         ("sources_before_cutoff", joined.where("at >= cutoff_us")),
         ("no_duplicate_examples", of.groupBy("match_id").count().where("count > 1")),
         ("provider_mapping_consistent", matches.groupBy("provider", "provider_match_id").agg(F.countDistinct("id").alias("n")).where("n > 1")),
     ]
+    if odds is not None:
+        checks.append(("odds_at_or_before_cutoff", odds.join(cut, "match_id").where("at > cutoff_us")))
+    if snapshots is not None:
+        own = snapshots.select(F.col("target_match_id").alias("match_id"), "as_of_us")
+        other = cut.join(own, "match_id", "full").where("cutoff_us is null or as_of_us is null or cutoff_us <> as_of_us")
+        checks.append(("snapshot_matches_example", other))
     if splits is not None:
         order = splits.groupBy("split").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
         wide = order.select(F.max(F.when(F.col("split") == "train", F.col("hi"))).alias("t"), F.min(F.when(F.col("split") == "validation", F.col("lo"))).alias("v"), F.max(F.when(F.col("split") == "validation", F.col("hi"))).alias("w"), F.min(F.when(F.col("split") == "test", F.col("lo"))).alias("x"))
@@ -123,6 +137,19 @@ def leakage_report(of: DataFrame, sources: DataFrame, matches: DataFrame, splits
     return out.select("check", (F.col("violations") == 0).alias("passed"), "violations")
 
 
+def fold_invariants(folds: DataFrame) -> DataFrame:
+    """(fold, disjoint, in_order, progresses) of walk-forward or rolling folds: match_id, pos, fold, split.
+
+    disjoint: no example is in both parts; in_order: all of train stands before all of test; progresses: its test begins
+    after that of the fold before.
+    """
+    each = folds.groupBy("fold").agg(*[f(F.when(F.col("split") == s, F.col("pos"))).alias(n) for s, f, n in (("train", F.max, "train_hi"), ("test", F.min, "test_lo"))])
+    twice = folds.groupBy("fold", "match_id").agg(F.countDistinct("split").alias("n")).groupBy("fold").agg(F.max("n").alias("most"))
+    before = Window.partitionBy().orderBy("fold")  # a row a fold
+    rows = each.join(twice, "fold").withColumn("was", F.lag("test_lo").over(before))
+    return rows.select("fold", (F.col("most") == 1).alias("disjoint"), (F.col("train_hi") < F.col("test_lo")).alias("in_order"), (F.col("was").isNull() | (F.col("test_lo") > F.col("was"))).alias("progresses"))
+
+
 def assert_no_leakage(report: DataFrame) -> None:
     """Raise if a check of the report failed."""
     if failed := [r.check for r in report.where("not passed").collect()]:  # one row a check

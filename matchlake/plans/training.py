@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.columns import DAY_US
-from matchlake.operators import datasets, identity, rolling, sequences
+from matchlake.operators import asof, datasets, identity, sequences, snapshots
 from matchlake.operators.perspective import perspectives
-from matchlake.plans import derived
-from matchlake.session import table
+from matchlake.plans import derived, features
+from matchlake.session import table, written
+from matchlake.sources import export
 
 FOLDS, ROLL, STEP = 5, 4000, 2500
 
@@ -50,39 +50,49 @@ def rolling_window_folds(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("fold", "split").agg(F.count("*").alias("examples"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("label").alias("a_wins"))
 
 
-def leakage_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks of a dataset whose sources are each side's newest match before the cutoff."""
-    m = derived.matches(spark, sf)
-    of = _examples(spark, sf)[0]
-    history = perspectives(m)
-    from matchlake.operators import asof
+def training_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The examples with their snapshots, flattened as they are exported; lists of windows as their number."""
+    rows = snapshots.training_rows(_examples(spark, sf)[0], features._snapshots(spark, sf))
+    flat = export.flatten(rows)
+    size = {c for c, kind in flat.dtypes if kind.startswith("array")}
+    return flat.select(*[(F.size(f"`{c}`").cast("bigint") if c in size else F.col(f"`{c}`")).alias(c.replace(".", "__")) for c in flat.columns])
+
+
+def fold_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The invariants of the walk-forward and the rolling folds."""
+    placed = written(_placed(spark, sf))
+    out = [datasets.fold_invariants(rows).withColumn("scheme", F.lit(name)) for name, rows in (("walk_forward", datasets.walk_forward(placed, FOLDS)), ("rolling", datasets.rolling_folds(placed, ROLL, STEP)))]
+    return out[0].unionByName(out[1])
 
-    probes = of.select(F.col("player_a").alias("player"), F.col("cutoff_us").alias("at"), F.col("match_id").alias("probe"))
-    newest = asof.latest(history.withColumn("source_id", F.col("match_id")), probes, ["player"], ["source_id"], "source_id")
-    sources = newest.where("source_id is not null").select(F.col("probe").alias("match_id"), "source_id")
+
+def leakage_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks of the dataset of training_features: the newest source of either side, and each target whose own effective
+    time is before its cutoff, as such a match would be part of its players' histories."""
+    m = written(derived.matches(spark, sf))
+    of = written(_examples(spark, sf)[0])
+    history = perspectives(m).withColumn("source_id", F.col("match_id"))
     known = m.select("id", F.lit("derived").alias("provider"), F.col("id").alias("provider_match_id"), F.coalesce("done_us", "start_us", "scheduled_us").alias("at"))
+    probes = of.select(F.explode(F.array("player_a", "player_b")).alias("player"), F.col("cutoff_us").alias("at"), F.col("match_id").alias("probe"))
+    newest = asof.latest(history, probes, ["player"], ["source_id"], "source_id").where("source_id is not null").select(F.col("probe").alias("match_id"), "source_id")
+    early = of.join(known.select(F.col("id").alias("match_id"), "at"), "match_id").where("at < cutoff_us").select("match_id", F.col("match_id").alias("source_id"))
+    quoted = asof.latest(derived.quotes(spark, sf).withColumn("quoted_us", F.col("at")), of.select("match_id", F.col("cutoff_us").alias("at"), F.col("match_id").alias("probe")), ["match_id"], ["quoted_us"], "quote_id", inclusive=True)
+    odds = quoted.where("quoted_us is not null").select(F.col("probe").alias("match_id"), F.col("quoted_us").alias("at"))
+    made = features._snapshots(spark, sf)
+    names = [c for part in ("player_a_features", "player_b_features", "matchup_features") for c in made.schema[part].dataType.fieldNames()]
     placed = datasets.holdout(datasets.positions(of.select("match_id", "cutoff_us")))
-    return datasets.leakage_report(of, sources, known, placed, of.columns[:2])
+    return datasets.leakage_report(of, newest.unionByName(early), known, placed, names, odds, made.select("target_match_id", "as_of_us"))
 
 
 def snapshot_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Quality and missing features of each completed match's snapshot, from the two sides' histories."""
-    m = derived.matches(spark, sf)
-    history = perspectives(m)
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("player")) for s, c in (("a", "player_a"), ("b", "player_b"))])
-    probes = m.where("winner is not null").select(F.col("id").alias("match"), F.col("scheduled_us").alias("at"), F.inline(sides)).select("player", "at", F.struct("match", "side").alias("probe"))
-    sums = rolling.window_rows(history, probes, windows=())
-    pick = lambda s, c: F.max(F.when(F.col("probe.side") == s, F.col(c)))
-    wide = sums.groupBy(F.col("probe.match").alias("match_id")).agg(*[pick(s, c).alias(f"{c}_{s}") for s in "ab" for c in ("n", "decided")])
-    few = lambda s: F.when(F.col(f"n_{s}") < 1, 15.0).otherwise(0.0)
-    missing = F.array_compact(F.array(*[F.when(F.col(f"decided_{s}") == 0, F.lit(f"player_{s}.win_rate")) for s in "ab"]))
-    return wide.select("match_id", (100.0 - few("a") - few("b")).alias("quality"), F.concat_ws(",", missing).alias("missing"))
+    """Quality, warnings and missing features of each completed match's snapshot."""
+    p = F.col("provenance")
+    return features._snapshots(spark, sf).select(F.col("target_match_id").alias("match_id"), F.round(p["data_quality_score"], 9).alias("quality"), F.concat_ws(",", p["warnings"]).alias("warnings"), F.concat_ws(",", p["missing_feature_names"]).alias("missing"))
 
 
 def snapshot_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Fingerprint of the ids of each player's completed matches."""
-    history = perspectives(derived.matches(spark, sf)).where("won is not null")
-    return history.groupBy("player").agg(datasets.list_digest(F.col("match_id")).alias("fingerprint"), F.count("*").alias("matches"))
+    """What binds each snapshot's sources and inputs."""
+    p = F.col("provenance")
+    return features._snapshots(spark, sf).select(F.col("target_match_id").alias("match_id"), p["repository_fingerprint"].alias("repository_fingerprint"), p["input_fingerprint"].alias("input_fingerprint"))
 
 
 def identity_resolution(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +125,7 @@ def momentum_in_play(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        training_examples, training_skipped, dataset_manifest, holdout_split, walk_forward_folds, rolling_window_folds, leakage_report,
+        training_examples, training_skipped, dataset_manifest, holdout_split, walk_forward_folds, rolling_window_folds, leakage_report, training_features, fold_checks,
         snapshot_quality, snapshot_fingerprint, identity_resolution, point_states, set_states, momentum_in_play,
     )
 }
@@ -147,10 +157,13 @@ ORACLE = {
     "holdout_split": f"{_E} select match_id, pos::bigint pos, {_H} split from pl where n >= 3",
     "walk_forward_folds": f"{_E}, f as (select pl.*, k.range::int fold, case when pos < (n // {FOLDS + 1}) * (k.range + 1) then 'train' else 'test' end split from pl, range({FOLDS}) k where pos < (n // {FOLDS + 1}) * (k.range + 2)) {_FOLD}",
     "rolling_window_folds": f"{_E}, f as (select pl.*, k.range::int fold, case when pos < k.range * {STEP} + {ROLL} then 'train' else 'test' end split from pl, range(1000) k where k.range * {STEP} + {ROLL} < n and pos >= k.range * {STEP} and pos < k.range * {STEP} + {ROLL + STEP}) {_FOLD}",
-    "leakage_report": "select unnest(['target_not_in_sources', 'sources_before_cutoff', 'no_duplicate_examples', 'provider_mapping_consistent', 'no_example_in_two_splits', 'splits_in_order', 'no_forbidden_fields']) \"check\", true passed, 0::bigint violations",
-    "snapshot_quality": f"""with {derived.SQL}, k as (select probe, u.s, count(p.t) n, count(p.won) d from probe, unnest([{{'s': 'a', 'q': pa}}, {{'s': 'b', 'q': pb}}]) w(u) left join p on p.player = u.q and p.t < probe.cut group by all)
-        select probe match_id, 100.0::double - 15 * count(*) filter (n < 1) quality, coalesce(string_agg('player_' || s || '.win_rate', ',' order by s) filter (d = 0), '') missing from k group by 1""",
-    "snapshot_fingerprint": f"with {derived.SQL} select player, substr(sha256(string_agg(match_id::varchar, '|' order by match_id::varchar)), 1, 16) fingerprint, count(*)::bigint matches from p where won is not null group by 1",
+    "leakage_report": "select unnest(['target_not_in_sources', 'sources_before_cutoff', 'no_duplicate_examples', 'provider_mapping_consistent', 'no_example_in_two_splits', 'splits_in_order', 'no_forbidden_fields', 'odds_at_or_before_cutoff', 'snapshot_matches_example']) \"check\", true passed, 0::bigint violations",
+    "snapshot_quality": f"select target_match_id match_id, data_quality_score quality, warnings, missing from ({features.ORACLE['feature_snapshots']})",
+    "snapshot_fingerprint": f"select target_match_id match_id, repository_fingerprint, input_fingerprint from ({features.ORACLE['feature_snapshots']})",
+    "fold_checks": f"""{_E}, f as (select 'walk_forward' scheme, k.range::int fold, case when pos < (n // {FOLDS + 1}) * (k.range + 1) then 'train' else 'test' end split, pos, match_id from pl, range({FOLDS}) k where pos < (n // {FOLDS + 1}) * (k.range + 2)
+          union all select 'rolling', k.range::int, case when pos < k.range * {STEP} + {ROLL} then 'train' else 'test' end, pos, match_id from pl, range(1000) k where k.range * {STEP} + {ROLL} < n and pos >= k.range * {STEP} and pos < k.range * {STEP} + {ROLL + STEP}),
+        g as (select scheme, fold, max(pos) filter (split = 'train') hi, min(pos) filter (split = 'test') lo, count(*) c, count(distinct match_id) d from f group by all)
+        select scheme, fold, c = d disjoint, hi < lo in_order, coalesce(lo > lag(lo) over (partition by scheme order by fold), true) progresses from g""",
     "point_states": f"{_P} select * from ps",
     "set_states": f"{_P} select * from ss",
     "momentum_in_play": f"""{_P}, c as (select ps.*, ss.* exclude (match_id), case when coalesce(trailing_points, 0) = 0 then 50.0 else 50 + sign(trailing_points) * least(50, least(abs(trailing_points), 10) * 5) end a,

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ZIP = "matchlake-package"
 #: A side is broadcast only if it has at most this many rows, counted when the plan is built.
 BROADCAST_ROWS = 10_000
 
@@ -20,10 +23,23 @@ def build_session(master: str = "local[*]", app: str = "matchlake", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         **conf,
     }
-    return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
+    spark = SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, wherever the driver was started; once a session."""
+    context = spark.sparkContext
+    if any(f.endswith(f"{_ZIP}.zip") for f in context.listFiles):
+        return
+    here, folder = Path(__file__).resolve().parent, tempfile.mkdtemp()  # the driver's own copy; Spark serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{_ZIP}", "zip", here.parent, here.name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +61,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Use the folder the cluster names in spark.checkpoint.dir.
+
+    Only where all runs on this machine, as in tests, may it be unset; then a temporary folder is taken. On a cluster that
+    would be a folder of each machine's own, so it raises.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="matchlake-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

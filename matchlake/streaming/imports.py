@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,10 +19,15 @@ def raw_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Da
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def own_id() -> Column:
+    """The message's normalised id; a delivery without one is a message of its own, named by its delivery id."""
+    return F.coalesce(normalised_id(F.col("provider_record_id")), F.concat(F.lit("\u0000delivery "), F.col("delivery_id").cast("string")))
+
+
 def message_key(df: DataFrame) -> DataFrame:
-    """``df`` with message: provider, record type and normalised id, lengths before them so that parts can't be confused."""
+    """``df`` with message: provider, record type and id, lengths before them so that parts can't be confused."""
     part = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
-    return df.withColumn("message", F.concat(*[part(F.coalesce(c, F.lit(""))) for c in (F.col("provider"), F.col("record_type"), normalised_id(F.col("provider_record_id")))]))
+    return df.withColumn("message", F.concat(*[part(F.coalesce(c, F.lit(""))) for c in (F.col("provider"), F.col("record_type"), own_id())]))
 
 
 def import_once(spark: SparkSession, folder: str, target: KeyedTable, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 1) -> list[dict]:
@@ -39,9 +44,7 @@ def import_once(spark: SparkSession, folder: str, target: KeyedTable, checkpoint
         keyed = message_key(deduplicated(batch))
         new = keyed.join(target.read().select("message"), "message", "left_anti").dropDuplicates(["message"])
         rows = transform(new) if transform else new
-        before = target.count()
-        target.upsert(rows)
-        reports.append({"batch_id": batch_id, "read": batch.count(), "stored": target.count() - before})
+        reports.append({"batch_id": batch_id, "read": batch.count(), "stored": target.upsert(rows)})
         batch.unpersist()
 
     query = raw_stream(spark, folder, files_per_batch).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -50,8 +53,9 @@ def import_once(spark: SparkSession, folder: str, target: KeyedTable, checkpoint
 
 
 def distinct_messages(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """A stream of messages without repeats: exact identifiers are kept as state until ``late`` after their fetch."""
-    named, names = with_quotient(stream, [F.col("provider"), F.col("record_type"), normalised_id(F.col("provider_record_id"))])
+    """A stream of messages without repeats: exact identifiers are kept as state until ``late`` after their fetch. Messages
+    without an identifier all pass, once each."""
+    named, names = with_quotient(stream, [F.col("provider"), F.col("record_type"), own_id()])
     once = named.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(names)
     return once.select(*stream.columns)
 

@@ -93,7 +93,7 @@ def test_identities(spark):
 
 def test_splits(spark):
     df = spark.createDataFrame([(i, i // 2, 1) for i in range(10)], "match_id bigint, cutoff_us bigint, label int")
-    placed = datasets.positions(df, shards=3)
+    placed = datasets.positions(df, part_rows=20)
     assert [r.pos for r in placed.orderBy("match_id").collect()] == list(range(10))
     assert [r.split for r in datasets.holdout(placed).orderBy("pos").collect()] == ["train"] * 6 + ["validation"] * 2 + ["test"] * 2
     assert datasets.holdout(datasets.positions(df.limit(2))).count() == 0

@@ -91,3 +91,20 @@ def test_export(spark, tmp_path):
     export.write_report({"b": 1, "a": None}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": None, "b": 1}
     assert export.report_text({"b": 0.5, "a": None, "c": 3}) == "b: 0.500\nc: 3"
+
+
+def test_only_touched_buckets_are_written_and_old_files_go(spark, tmp_path):
+    t = KeyedTable(spark, str(tmp_path / "t"), "id", "id bigint, v string", buckets=4)
+    assert t.upsert(spark.range(100).selectExpr("id", "'a' v")) == 100
+    before = t._newest()["files"]
+    assert t.upsert(spark.createDataFrame([(7, "b")], "id bigint, v string")) == 0
+    after = t._newest()["files"]
+    assert sum(before[b] != after[b] for b in before) == 1 and t.count() == t.read().count() == 100
+    for n in range(5):
+        assert t.upsert(spark.createDataFrame([(1000 + n, "c")], "id bigint, v string")) == 1
+    named = {p.split("/")[0] for v in t._versions() for p in t._manifest(v)["files"].values()}
+    assert {p.name for p in (tmp_path / "t").iterdir()} == named | {"manifests"} and len(t._versions()) == 2
+    assert {r.v for r in t.get(7, 1003, 5).collect()} == {"a", "b", "c"} and t.has("v", "b") and not t.has("v", "z")
+    with pytest.raises(DuplicateKeyError):
+        t.add(spark.createDataFrame([(5000, "b")], "id bigint, v string"), unique=["v"])
+    assert t.count() == 105

@@ -45,3 +45,19 @@ def test_windows_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     want = {tuple(r) for r in imports.event_windows(df).collect()}
     assert {tuple(r) for r in spark.table("w").collect()} == want and sum(r[3] for r in want) == 60
     assert imports.event_sessions(df, "10 minutes").count() > 1
+
+
+def test_messages_without_an_identifier_are_messages_of_their_own(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(i, "p", rid, "match", "{}", "b", None, datetime(2024, 1, 1, 0, i)) for i, rid in enumerate((None, "", "  ", "a", "A ", "b"))]
+    raw = spark.createDataFrame(rows, imports.RAW)
+    assert imports.message_key(raw).select("message").distinct().count() == 5
+    raw.write.parquet(str(tmp_path / "raw"))
+    query = imports.to_memory(imports.distinct_messages(imports.raw_stream(spark, str(tmp_path / "raw"))), "blank_ids")
+    query.awaitTermination()
+    got = {r.delivery_id for r in spark.table("blank_ids").collect()}
+    assert got >= {0, 1, 2, 5} and len(got) == 5
+    target = KeyedTable(spark, str(tmp_path / "t"), "message", SCHEMA)
+    reports = imports.import_once(spark, str(tmp_path / "raw"), target, str(tmp_path / "cp"), lambda df: df.select(*target.read().columns))
+    assert sum(r["stored"] for r in reports) == target.count() == 5
