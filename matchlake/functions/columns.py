@@ -100,3 +100,28 @@ def canonical_json(texts: pd.Series) -> pd.Series:
 def payload_fingerprint(texts: pd.Series) -> pd.Series:
     """First 16 hexadecimal digits of the SHA-256 of the canonical JSON."""
     return texts.map(lambda t: None if (c := _canonical(t)) is None else hashlib.sha256(c.encode()).hexdigest()[:16])
+
+
+def binary_round(x: Column, digits: int) -> Column:
+    """A double rounded by its exact binary value, ties to even: 2.675 to two digits is 2.67. In Arrow batches."""
+
+    @F.pandas_udf(DoubleType())
+    def rounded(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None or v != v else round(v, digits) if abs(v) != float("inf") else v)
+
+    return rounded(x.cast("double"))
+
+
+def digests(ids: Column) -> dict[str, Column]:
+    """Two 40-bit hashes of an id; their sums over a set bind it, in any order, and can be taken back."""
+    return {f"d{k}": F.conv(F.substring(F.md5(ids.cast("string")), 1 + 10 * k, 10), 16, 10).cast("bigint") for k in (0, 1)}
+
+
+def run_id(source: Column, provider: Column, started: Column) -> Column:
+    """Name of an import run: hash of the source, the provider and when it started."""
+    return short_hash(F.concat_ws("|", source, provider, iso_text(started)))
+
+
+def is_semver(text: Column) -> Column:
+    """Whether a text is three numbers joined by dots."""
+    return F.coalesce(text.rlike(r"^\d+\.\d+\.\d+$"), F.lit(False))

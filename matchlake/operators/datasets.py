@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions.columns import short_hash
+from matchlake.functions.columns import digests, short_hash
 from matchlake.session import broadcast_if_small, written
 
 #: Names of what is only known after a match.
@@ -43,8 +43,9 @@ def manifest(of: DataFrame, skipped: DataFrame) -> DataFrame:
 
 
 def id_digest(ids: Column) -> Column:
-    """Fingerprint of a set of ids that needs no list of them: count and sum of 64-bit hashes, hashed."""
-    return short_hash(F.concat_ws("|", F.count(ids).cast("string"), F.sum(F.xxhash64(ids.cast("string")).cast("decimal(20,0)")).cast("string")))
+    """Fingerprint of a set of ids that needs no list of them: their number and the sums of two hashes, hashed."""
+    sums = [F.coalesce(F.sum(d), F.lit(0)).cast("string") for d in digests(ids).values()]
+    return short_hash(F.concat_ws("|", F.count(ids).cast("string"), *sums))
 
 
 #: Rows that one part of an order holds.

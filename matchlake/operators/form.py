@@ -26,7 +26,8 @@ def completion_weight(status: Column) -> Column:
 
 
 def form(history: DataFrame, as_of_us: int, half_life: float = HALF_LIFE_DAYS, sample: int = MIN_SAMPLE) -> DataFrame:
-    """(player, form, form_n, confidence): weighted mean of performance, the weights from age, opponent and completion.
+    """(player, form, form_n, confidence, recency): weighted mean of performance, the weights from age, opponent and
+    completion; recency is the mean weight of age.
 
     ``history``: perspectives with status and opponent_ranking. Later matches than ``as_of_us`` count with full
     weight, as if they were now. Rows without a result don't count; a player of whom none is left is at 50 with
@@ -35,8 +36,8 @@ def form(history: DataFrame, as_of_us: int, half_life: float = HALF_LIFE_DAYS, s
     has = F.col("won").isNotNull()
     weight = decay((F.lit(as_of_us) - F.col("at")) / DAY_US, half_life) * opponent_weight(F.col("opponent_ranking")) * completion_weight(F.col("status"))
     score = F.when(F.col("status") == "walkover", F.col("won") * 100.0).otherwise(performance(F.col("won"), F.col("points_for"), F.col("points_against")))
-    sums = history.groupBy("player").agg(F.count_if(has).alias("form_n"), F.sum(F.when(has, score * weight)).alias("__s"), F.sum(F.when(has, weight)).alias("__w"))
-    return sums.select("player", F.coalesce(clamp(F.col("__s") / F.col("__w"), 0.0, 100.0), F.lit(50.0)).alias("form"), "form_n", F.least(F.lit(1.0), F.col("form_n") / float(max(1, sample))).alias("confidence"))
+    sums = history.groupBy("player").agg(F.count_if(has).alias("form_n"), F.sum(F.when(has, score * weight)).alias("__s"), F.sum(F.when(has, weight)).alias("__w"), F.avg(F.when(has, decay((F.lit(as_of_us) - F.col("at")) / DAY_US, half_life))).alias("recency"))
+    return sums.select("player", "recency", F.coalesce(clamp(F.col("__s") / F.col("__w"), 0.0, 100.0), F.lit(50.0)).alias("form"), "form_n", F.least(F.lit(1.0), F.col("form_n") / float(max(1, sample))).alias("confidence"))
 
 
 def pre_match_momentum(history: DataFrame, as_of_us: int, newest: int = 5, half_life: float = HALF_LIFE_DAYS, anchor: str = "oldest") -> DataFrame:
@@ -58,8 +59,10 @@ def pre_match_momentum(history: DataFrame, as_of_us: int, newest: int = 5, half_
     return sums.select("player", clamp(F.col("__s") / F.col("__w") + clamp(5.0 * F.col("__run"), -20.0, 20.0), 0.0, 100.0).alias("momentum"), "momentum_n")
 
 
-def patterns(history: DataFrame) -> DataFrame:
-    """(player, pattern, value, n) in long form; a pattern without observations has no row.
+def patterns(history: DataFrame, sample: int = MIN_SAMPLE) -> DataFrame:
+    """(player, pattern, value, n, confidence) in long form; a pattern without observations has no row.
+
+    confidence grows to 1 with ``sample`` observations.
 
     All ratios come from one aggregation, whose partial sums are made before the shuffle.
     """
@@ -70,17 +73,28 @@ def patterns(history: DataFrame) -> DataFrame:
     sums = history.groupBy("player").agg(
         n(c("first_won") == 0).alias("first_lost"), n(c("first_won") == 1).alias("first_won"), n(c("first_won").isNotNull()).alias("first_n"),
         n((c("first_won") == 0) & wins).alias("comebacks"), n((c("first_won") == 0) & result).alias("comeback_n"), n((c("first_won") == 1) & losses).alias("thrown"), n((c("first_won") == 1) & result).alias("thrown_n"),
-        n(c("decider_won") == 1).alias("deciders_won"), n(c("decider_won").isNotNull()).alias("deciders"), n(c("straight") == 1).alias("straight"), n(wins).alias("wins"),
+        n(c("decider_won") == 1).alias("deciders_won"), n(c("decider_won").isNotNull()).alias("deciders"), n(c("straight") == 1).alias("straight"), n(wins).alias("wins"), F.sum("close_losses").alias("close"), F.sum("sets_against").alias("lost_sets"),
         F.stddev_pop(F.when(result, score)).alias("spread"), n(result).alias("results"),
     )
     ratios = [
         ("slow_starter", "first_lost", "first_n"), ("strong_first_set", "first_won", "first_n"), ("frequent_comeback", "comebacks", "comeback_n"),
         ("weak_after_winning_first_set", "thrown", "thrown_n"), ("high_deciding_set_performance", "deciders_won", "deciders"), ("straight_sets_tendency", "straight", "wins"),
+        ("late_set_collapse", "close", "lost_sets"),
     ]
     rows = [F.struct(F.lit(p).alias("pattern"), rate(c(a), c(b)).alias("value"), c(b).cast("bigint").alias("n")) for p, a, b in ratios]
     spread = F.when(c("results") >= 2, F.least(F.lit(1.0), c("spread") / 50))
     rows.append(F.struct(F.lit("high_volatility").alias("pattern"), spread.alias("value"), c("results").cast("bigint").alias("n")))
-    return sums.select("player", F.inline(F.array(*rows))).where("value is not null")
+    return sums.select("player", F.inline(F.array(*rows))).where("value is not null").withColumn("confidence", F.least(F.lit(1.0), F.col("n") / float(max(1, sample))))
+
+
+def pressure_points(states: DataFrame, sample: int = MIN_SAMPLE) -> DataFrame:
+    """(match_id, side, pattern, value, n, confidence): how many of a match's pressure points each side won.
+
+    ``states``: ``sequences.point_states``. A match without such points has no row.
+    """
+    won = F.array(F.struct(F.lit(1).alias("side"), F.col("pressure_1").alias("won")), F.struct(F.lit(2).alias("side"), (F.col("pressure_n") - F.col("pressure_1")).alias("won")))
+    each = states.where("pressure_n > 0").select("match_id", F.col("pressure_n").alias("n"), F.inline(won))
+    return each.select("match_id", "side", F.lit("strong_pressure_point_performance").alias("pattern"), rate(F.col("won"), F.col("n")).alias("value"), "n", F.least(F.lit(1.0), F.col("n") / float(max(1, sample))).alias("confidence"))
 
 
 def repeated_history(history: DataFrame) -> DataFrame:

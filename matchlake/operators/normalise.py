@@ -28,6 +28,14 @@ def split(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+def players(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with provider_player_id, full_name, country_code, world_ranking; good ones as id, name, country, ranking beside the
+    other columns. Reasons: blank player id, blank name."""
+    reason = F.when(_blank(F.col("provider_player_id")), "blank player id").when(_blank(F.col("full_name")), "blank name")
+    good, bad = split(rows, reason)
+    return good.withColumnsRenamed({"provider_player_id": "id", "full_name": "name", "country_code": "country", "world_ranking": "ranking"}), bad
+
+
 def odds(rows: DataFrame, instant: Column) -> tuple[DataFrame, DataFrame]:
     """Rows with provider_match_id, bookmaker and decimal_odds; ``instant``: when they were captured, null if unreadable.
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPLETED = ("finished", "retired")
+#: A set that is lost by at most so many points is lost late.
+CLOSE = 2
 
 
 def effective_time(completed: Column, started: Column, scheduled: Column) -> Column:
@@ -37,8 +39,9 @@ def perspectives(matches: DataFrame) -> DataFrame:
     m = _once(matches, "__s", ordered)
     first, last = F.try_element_at("__s", F.lit(1)), F.try_element_at("__s", F.lit(-1))
     won = lambda x, y: F.size(F.filter("__s", lambda s: s[x] > s[y]))
+    close = lambda x, y: F.size(F.filter("__s", lambda s: (s[y] > s[x]) & (s[y] - s[x] <= CLOSE)))
     m = _once(m, "__m", F.struct(
-        F.size("__s").alias("n"), won("a", "b").alias("wa"), won("b", "a").alias("wb"), _points(F.col("__s"), "a").alias("pa"), _points(F.col("__s"), "b").alias("pb"),
+        F.size("__s").alias("n"), won("a", "b").alias("wa"), won("b", "a").alias("wb"), close("a", "b").alias("ca"), close("b", "a").alias("cb"), _points(F.col("__s"), "a").alias("pa"), _points(F.col("__s"), "b").alias("pb"),
         *[F.when(e.isNotNull(), (e[x] > e[y]).cast("int")).alias(f"{name}_{x}") for name, e in (("first", first), ("last", last)) for x, y in (("a", "b"), ("b", "a"))],
         effective_time(F.col("done_us"), F.col("start_us"), F.col("scheduled_us")).alias("at"),
     ))
@@ -50,7 +53,7 @@ def perspectives(matches: DataFrame) -> DataFrame:
         sides.append(F.struct(
             F.col(us).alias("player"), F.col(them).alias("opponent"), won_it.alias("won"),
             s[f"w{mine}"].alias("sets_for"), s[f"w{other}"].alias("sets_against"), s[f"p{mine}"].alias("points_for"), s[f"p{other}"].alias("points_against"),
-            s[f"first_{mine}"].alias("first_won"), decider.cast("int").alias("decider"), F.when(decider, s[f"last_{mine}"]).alias("decider_won"),
+            s[f"c{mine}"].alias("close_losses"), s[f"first_{mine}"].alias("first_won"), decider.cast("int").alias("decider"), F.when(decider, s[f"last_{mine}"]).alias("decider_won"),
             ((won_it == 1) & (s[f"w{other}"] == 0) & (s[f"w{mine}"] > 0)).cast("int").alias("straight"),
         ))
     duration = F.when(F.col("start_us").isNotNull() & F.col("done_us").isNotNull(), F.col("done_us") - F.col("start_us"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.functions.columns import DAY_US, clamp, iso_text, short_hash
+from matchlake.functions.columns import DAY_US, clamp, digests, iso_text, short_hash
 from matchlake.operators import asof, matchup, rolling
 from matchlake.operators.perspective import perspectives
 from matchlake.session import written
@@ -31,11 +31,6 @@ UNCONVERTIBLE = (
 )
 
 
-def digests(ids: Column) -> dict[str, Column]:
-    """Two 40-bit hashes of an id; their sums over a set bind it, in any order, and can be taken back."""
-    return {f"d{k}": F.conv(F.substring(F.md5(ids.cast("string")), 1 + 10 * k, 10), 16, 10).cast("bigint") for k in (0, 1)}
-
-
 def _bound(history: DataFrame) -> dict[str, Column]:
     complete = F.col("completeness") if "completeness" in history.columns else F.lit(FULL)
     return {"n": F.lit(1).cast("bigint"), "complete": complete.cast("bigint"), **digests(F.col("match_id"))}

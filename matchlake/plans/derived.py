@@ -69,21 +69,21 @@ np as (select greatest(20, count(*) // 15) n from customer),
 st as (select l_orderkey k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) sn,
          l_quantity::int % 12 a, (l_partkey % 12)::int b0 from lineitem),
 sets as (select k, sn, a, case when a = b0 then b0 + 1 else b0 end b from st where sn <= 7),
-sa as (select k, count(*) n, sum((a > b)::int) wa, sum((b > a)::int) wb, sum(a) xa, sum(b) xb, arg_min(a > b, sn) fa, arg_max(a > b, sn) la from sets group by k),
+sa as (select k, count(*) n, sum((a > b)::int) wa, sum((b > a)::int) wb, sum(a) xa, sum(b) xb, arg_min(a > b, sn) fa, arg_max(a > b, sn) la, sum((b > a and b - a <= 2)::int) ka, sum((a > b and a - b <= 2)::int) kb from sets group by k),
 o as (select o_orderkey id, o_custkey % n pa, o_orderpriority competition_id, epoch_us(o_orderdate) + (o_orderkey % 24) * {HOUR_US} sched, 5 + 2 * (o_orderkey % 2) best_of,
   case when o_orderstatus = 'O' and o_orderkey % 5 = 0 then 'scheduled' when o_orderstatus = 'P' and o_orderkey % 7 = 0 then 'cancelled'
        when o_orderstatus = 'P' and o_orderkey % 13 = 0 then 'live' when o_orderstatus = 'F' and o_orderkey % 11 = 0 then 'retired' else 'finished' end status
   from orders, np),
 m0 as (select o.*, (pa // 10) * 10 + (pa % 10 + 1 + id % 9) % 10 pb, case when status = 'scheduled' then 0 else coalesce(n, 0) end n,
-  coalesce(wa, 0) wa, coalesce(wb, 0) wb, coalesce(xa, 0) ptsa, coalesce(xb, 0) ptsb, fa, la from o left join sa on sa.k = o.id),
+  coalesce(wa, 0) wa, coalesce(wb, 0) wb, coalesce(xa, 0) ptsa, coalesce(xb, 0) ptsb, fa, la, coalesce(ka, 0) ka, coalesce(kb, 0) kb from o left join sa on sa.k = o.id),
 m as (select id, pa, pb, competition_id, best_of, status, sched, n, case when status <> 'scheduled' then sched + 5 * {MINUTE_US} end start,
   case when status in ('finished', 'retired') then sched + (15 + 7 * n) * {MINUTE_US} end done,
   case when n > 0 then wa else 0 end wa, case when n > 0 then wb else 0 end wb, case when n > 0 then ptsa else 0 end ptsa, case when n > 0 then ptsb else 0 end ptsb,
-  case when n > 0 then fa end fa, case when n > 0 then la end la,
+  case when n > 0 then fa end fa, case when n > 0 then la end la, case when n > 0 then ka else 0 end ka, case when n > 0 then kb else 0 end kb,
   case when status in ('finished', 'retired') then case when n > 0 and wa > wb then pa when n > 0 and wb > wa then pb when id % 2 = 0 then pa else pb end end winner from m0),
-p0 as (select id, pa player, pb opponent, wa sf, wb sa, ptsa pf, ptsb pg, case when n > 0 then fa end first, case when n > 0 then la end last, m.* exclude (id) from m
-  union all select id, pb, pa, wb, wa, ptsb, ptsa, case when n > 0 then not fa end, case when n > 0 then not la end, m.* exclude (id) from m),
+p0 as (select id, pa player, pb opponent, wa sf, wb sa, ptsa pf, ptsb pg, case when n > 0 then fa end first, case when n > 0 then la end last, ka close_losses, m.* exclude (id) from m
+  union all select id, pb, pa, wb, wa, ptsb, ptsa, case when n > 0 then not fa end, case when n > 0 then not la end, kb, m.* exclude (id) from m),
 p as (select id match_id, player, opponent, coalesce(done, start, sched) t, (winner = player)::int won, sf, sa, pf, pg, first::int first_won, n, competition_id, best_of,
-  (n >= 2 and sf - last::int = sa - (not last)::int) decider, last::int last_won, done - start dur, status not in ('finished', 'retired') incomplete from p0),
+  (n >= 2 and sf - last::int = sa - (not last)::int) decider, last::int last_won, done - start dur, status not in ('finished', 'retired') incomplete, close_losses from p0),
 probe as (select id probe, pa, pb, sched cut, competition_id, best_of, winner from m where winner is not null)
 """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.functions.columns import DAY_US, HOUR_US
-from matchlake.operators import asof, matchup, rolling, snapshots
+from matchlake.operators import asof, matchup, quotes, rolling, snapshots
 from matchlake.operators.perspective import perspectives
 from matchlake.plans import derived
 from matchlake.session import written
@@ -77,6 +77,18 @@ def odds_at_or_before(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("probe").alias("match_id"), "quote_id", "bookmaker", "odds_a", "odds_b")
 
 
+def odds_until_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """All quotes of each match at or before its schedule."""
+    cutoffs = derived.matches(spark, sf).select(F.col("id").alias("match_id"), F.col("scheduled_us").alias("cutoff_us"))
+    return quotes.known_quotes(derived.quotes(spark, sf), cutoffs).select("match_id", "quote_id", "at", "bookmaker", "odds_a")
+
+
+def quote_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Each match with what its quotes say."""
+    rows = quotes.summary(derived.matches(spark, sf).select(F.col("id").alias("match_id")), derived.quotes(spark, sf))
+    return rows.withColumns({c: F.round(c, 7) + F.lit(0.0) for c in ("disagreement", "movement")})
+
+
 def matchup_differentials(spark: SparkSession, sf: str) -> DataFrame:
     _, history, probes = _history(spark, sf)
     base = rolling.window_features(rolling.window_rows(history, probes, windows=())).select("probe", "win_rate")
@@ -110,7 +122,7 @@ def engine_inputs(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.engine_inputs(_snapshots(spark, sf)).withColumn("unconvertible", F.size("unconvertible").cast("bigint"))
 
 
-QUERIES = {f.__name__: f for f in (rolling_win_rate, rolling_windows, rest_and_workload, form_and_volatility, result_streak, head_to_head, ranking_latest_before, odds_at_or_before, matchup_differentials, feature_snapshots, engine_inputs)}
+QUERIES = {f.__name__: f for f in (rolling_win_rate, rolling_windows, rest_and_workload, form_and_volatility, result_streak, head_to_head, ranking_latest_before, odds_at_or_before, odds_until_cutoff, quote_summary, matchup_differentials, feature_snapshots, engine_inputs)}
 
 _SIDES = "pr as (select probe match_id, u.side, u.pl player, cut from probe, unnest([{'side': 'a', 'pl': pa}, {'side': 'b', 'pl': pb}]) w(u))"
 _WITH = f"with {derived.SQL}, {_SIDES}, h as (select pr.match_id, side, pr.cut, p.* exclude (match_id), p.match_id src, row_number() over (partition by pr.match_id, side order by p.t desc, p.match_id::varchar desc) rn from pr left join p on p.player = pr.player and p.t < pr.cut)"
@@ -135,6 +147,8 @@ _REST = f"""r as (select match_id, side, (any_value(cut) - max(t))::double / {HO
 _RANK = """q as (select o_custkey % n player, date_trunc('quarter', o_orderdate) q, sum(round(o_totalprice * 100)::bigint) c from orders, np group by all),
 rk as (select player, epoch_us((q + interval 3 month)::timestamp) t, rank() over (partition by q order by c desc, player)::int ranking from q),
 k as (select pr.match_id, side, arg_max(ranking, rk.t) ranking from pr left join rk on rk.player = pr.player and rk.t < pr.cut group by all)"""
+_QUOTES = f"""with {derived.SQL}, c as (select count(*) n from orders), q as (select event_id quote_id, event_id % c.n mid, event_type bookmaker, 1.01 + abs(value) / 100 odds_a, 1.01 + abs(500 - value) / 100 odds_b, event_id from events, c),
+        q2 as (select q.*, m.sched + (event_id % 49 - 24) * {HOUR_US} t, m.sched from q join m on m.id = mid)"""
 _LASTN = [(0, "t is not null"), *((n, f"rn <= {n}") for n in rolling.WINDOWS)]
 _LAST = ", ".join(f"(count(t) filter ({w}))::bigint matches_played_{k}, sum(won) filter ({w}) / nullif(count(won) filter ({w}), 0)::double win_rate_{k}, sum(pf) filter ({w}) / nullif(sum(pf + pg) filter ({w}), 0)::double point_win_rate_{k}" for k, w in _LASTN)
 _HELD = "coalesce(sum(case when n > 0 then 100 else 80 end) filter (t is not null), 0)::bigint comp, " + ", ".join(f"coalesce(sum(('0x' || md5(src::varchar)[{1 + 10 * k}:{10 + 10 * k}])::bigint) filter (t is not null), 0)::bigint d{k}" for k in (0, 1))
@@ -179,10 +193,12 @@ ORACLE = {
           (count(*) filter (best_of = pf2))::bigint format_meetings, sum(won) filter (best_of = pf2) / nullif(count(won) filter (best_of = pf2), 0)::double format_win_rate_a
         from g group by probe""",
     "ranking_latest_before": f"{_WITH}, {_RANK} select match_id, side, ranking from k",
-    "odds_at_or_before": f"""with {derived.SQL}, c as (select count(*) n from orders), q as (select event_id quote_id, event_id % c.n mid, event_type bookmaker, 1.01 + abs(value) / 100 odds_a, 1.01 + abs(500 - value) / 100 odds_b, event_id from events, c),
-        q2 as (select q.*, m.sched + (event_id % 49 - 24) * {HOUR_US} t, m.sched from q join m on m.id = mid),
-        b as (select mid, unnest(max({{'t': t, 'quote_id': quote_id, 'bookmaker': bookmaker, 'odds_a': odds_a, 'odds_b': odds_b}})) from q2 where t <= sched group by mid)
+    "odds_at_or_before": f"""{_QUOTES}, b as (select mid, unnest(max({{'t': t, 'quote_id': quote_id, 'bookmaker': bookmaker, 'odds_a': odds_a, 'odds_b': odds_b}})) from q2 where t <= sched group by mid)
         select m.id match_id, quote_id, bookmaker, odds_a, odds_b from m left join b on b.mid = m.id""",
+    "odds_until_cutoff": f"{_QUOTES} select mid match_id, quote_id, t \"at\", bookmaker, odds_a from q2 where t <= sched",
+    "quote_summary": f"""{_QUOTES}, z as (select mid, count(*)::bigint quotes, min({{'t': -t, 'b': bookmaker, 'q': quote_id}}) p, arg_min(odds_a, {{'t': t, 'q': quote_id}}) fo, arg_max(odds_a, {{'t': t, 'q': quote_id}}) lo, stddev_pop(odds_a) sa, stddev_pop(odds_b) sb from q2 group by 1)
+        select m.id match_id, coalesce(quotes, 0)::bigint quotes, p.q primary_id, p.b primary_bookmaker, fo first_odds, lo last_odds, round(case when quotes >= 2 then greatest(sa, sb) end, 7) + 0.0 disagreement, round(case when quotes >= 2 then abs(lo - fo) / fo end, 7) + 0.0 movement
+        from m left join z on z.mid = m.id""",
     "matchup_differentials": f"""{_WITH}, {_REST}, {_FORM}, {_RANK}, w as (select match_id, side, sum(won) / nullif(count(won), 0)::double wr from h group by all),
         e as (select * from w join r using (match_id, side) join f using (match_id, side) join k using (match_id, side))
         select x.match_id, round(x.wr - y.wr, 9) + 0.0 form_differential, round(x.rest_hours - y.rest_hours, 9) + 0.0 rest_differential_hours, x.matches_7d - y.matches_7d workload_differential,

@@ -29,7 +29,7 @@ def training_skipped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return datasets.manifest(*_examples(spark, sf)).drop("fingerprint")
+    return datasets.manifest(*_examples(spark, sf))
 
 
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +153,7 @@ ss as (select match_id, (case when any_value(fin) = 1 then 1 else -1 end * (coun
 ORACLE = {
     "training_examples": f"{_E} select * from ex",
     "training_skipped": f"{_E} select * from sk",
-    "dataset_manifest": f'{_E} select count(*)::bigint examples, (count(*) filter ("label" = 1))::bigint a_wins, (count(*) filter ("label" = 0))::bigint b_wins, min(cutoff_us) first_cutoff_us, max(cutoff_us) last_cutoff_us, (select count(*) from sk)::bigint skipped from ex',
+    "dataset_manifest": f"""{_E} select count(*)::bigint examples, (count(*) filter ("label" = 1))::bigint a_wins, (count(*) filter ("label" = 0))::bigint b_wins, min(cutoff_us) first_cutoff_us, max(cutoff_us) last_cutoff_us, substr(sha256(concat_ws('|', count(match_id), coalesce(sum(('0x' || md5(match_id::varchar)[1:10])::bigint), 0), coalesce(sum(('0x' || md5(match_id::varchar)[11:20])::bigint), 0))), 1, 16) fingerprint, (select count(*) from sk)::bigint skipped from ex""",
     "holdout_split": f"{_E} select match_id, pos::bigint pos, {_H} split from pl where n >= 3",
     "walk_forward_folds": f"{_E}, f as (select pl.*, k.range::int fold, case when pos < (n // {FOLDS + 1}) * (k.range + 1) then 'train' else 'test' end split from pl, range({FOLDS}) k where pos < (n // {FOLDS + 1}) * (k.range + 2)) {_FOLD}",
     "rolling_window_folds": f"{_E}, f as (select pl.*, k.range::int fold, case when pos < k.range * {STEP} + {ROLL} then 'train' else 'test' end split from pl, range(1000) k where k.range * {STEP} + {ROLL} < n and pos >= k.range * {STEP} and pos < k.range * {STEP} + {ROLL + STEP}) {_FOLD}",

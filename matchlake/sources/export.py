@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DateType, DoubleType, FloatType, MapType, StructType, TimestampType
 
+from matchlake.functions.columns import binary_round
+
 PRECISION = 6
 
 
@@ -28,7 +30,7 @@ def flatten(df: DataFrame, precision: int = PRECISION) -> DataFrame:
         value = F.col(f"`{path[0]}`")
         for part in path[1:]:
             value = value.getField(part)
-        columns.append((".".join(path), F.bround(value, precision) if isinstance(kind, (DoubleType, FloatType)) else value))
+        columns.append((".".join(path), binary_round(value, precision) if isinstance(kind, (DoubleType, FloatType)) else value))
     return df.select(*[c.alias(n) for n, c in sorted(columns, key=lambda x: x[0])])
 
 
