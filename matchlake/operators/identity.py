@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 THRESHOLD, SHORT_EXTRA, SHORT_LENGTH, MARGIN = 0.82, 0.08, 4, 0.05
 COUNTRY_FACTOR, BIRTH_FACTOR, CONFLICT_FLOOR = 0.7, 0.6, 0.3
-#: Scores below it are as good as none: a match needs THRESHOLD, a rival must be within MARGIN of it.
-FLOOR = THRESHOLD - MARGIN
 BLOCK = 5000
 
 
@@ -30,25 +28,34 @@ def _letters(names: list[str]) -> np.ndarray:
 
 
 def _best_two(batches: Iterator[pd.DataFrame], block: list[tuple]) -> Iterator[pd.DataFrame]:
-    """The best two scores of each candidate that are at least FLOOR; lower ones can't change any outcome.
+    """The best two scores of each candidate.
 
-    A similarity is at most twice the common letters over both lengths, so only names that pass this bound, which is
-    one vector operation for the whole block, are compared.
+    A similarity is at most twice the common letters over both lengths, which is one vector operation for the whole block.
+    Names are compared in order of that bound, times the factor of what differs, until it falls below the second best score:
+    no name after that can matter.
     """
     flat = [(iid, name, country, born) for iid, names, country, born in block for name in names]
     table, sizes = _letters([f[1] for f in flat]), np.array([len(f[1]) for f in flat])
+    lands = np.array([f[2] or "" for f in flat], dtype=object)
+    births = np.array([str(f[3]) if f[3] else "" for f in flat], dtype=object)
     for batch in batches:
         rows = []
         for cid, name, country, born in zip(batch["candidate_id"], batch["normalized_name"], batch["country"], batch["birth_date"]):
             if not name or not flat:
                 continue
-            most = 2 * np.minimum(table, _letters([name])[0]).sum(axis=1) / (sizes + len(name))
+            factor = np.where((lands != (country or "")) & (lands != "") & bool(country), COUNTRY_FACTOR, 1.0)
+            factor = factor * np.where((births != str(born)) & (births != "") & bool(born), BIRTH_FACTOR, 1.0)
+            most = 2 * np.minimum(table, _letters([name])[0]).sum(axis=1) / (sizes + len(name)) * factor
             found: dict[str, float] = {}
-            for k in np.flatnonzero(most >= FLOOR):
-                iid, other, c2, b2 = flat[k]
-                factor = (COUNTRY_FACTOR if country and c2 and country != c2 else 1.0) * (BIRTH_FACTOR if born and b2 and born != b2 else 1.0)
-                if most[k] * factor >= FLOOR and (score := difflib.SequenceMatcher(None, name, other).ratio() * factor) >= FLOOR:
-                    found[iid] = max(found.get(iid, 0.0), min(1.0, score))
+            second = 0.0
+            for k in np.argsort(-most, kind="stable"):
+                if most[k] < second or most[k] == 0:
+                    break
+                iid, other, _, _ = flat[k]
+                score = difflib.SequenceMatcher(None, name, other).ratio() * factor[k]
+                found[iid] = max(found.get(iid, 0.0), min(1.0, score))
+                if len(found) > 1:
+                    second = sorted(found.values())[-2]
             rows += [(cid, s, i) for i, s in sorted(found.items(), key=lambda f: (-f[1], f[0]))[:2]]
         if rows:
             yield pd.DataFrame(rows, columns=["candidate_id", "score", "identity_id"])
@@ -61,8 +68,8 @@ def resolve(candidates: DataFrame, identities: DataFrame, block: int = BLOCK) ->
     ``identities``: id, normalized_name, aliases, country, birth_date, external_ids. An external id that an identity
     has settles it: matched, or rejected if the names are too unlike. Else the best similarity (of name and aliases,
     lowered where known countries or birth dates differ) decides: created below the threshold, ambiguous if the
-    next is too close, else matched. Without identities everyone is created. Nulls don't lower a score. The score of
-    a created one is null where it is below FLOOR, and margin then too.
+    next is too close, else matched. Without identities everyone is created. Nulls don't lower a score. The margin is the
+    distance to the next best identity, or to 0 where there is none; without a name or a common letter both are null.
     """
     listed = identities.select(F.col("id").alias("identity_id"), F.array_compact(F.concat(F.array("normalized_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("names"), F.explode("external_ids").alias("x"))
     owner = listed.groupBy(F.col("x.provider").alias("p"), F.col("x.provider_player_id").alias("k")).agg(F.min(F.struct("identity_id", "names")).alias("o"))

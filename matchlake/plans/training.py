@@ -97,7 +97,7 @@ def snapshot_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 def identity_resolution(spark: SparkSession, sf: str) -> DataFrame:
     candidates = table(spark, sf, "player_candidate")
-    return identity.resolve(candidates, table(spark, sf, "player_identity")).select("candidate_id", "outcome", "identity_id", "score")
+    return identity.resolve(candidates, table(spark, sf, "player_identity")).select("candidate_id", "outcome", "identity_id", "score", "margin")
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from matchlake.functions.columns import canonical_json, short_hash
+from matchlake.session import broadcast_if_small
 
 
 class SourceReadError(ValueError):
     """A file holds what its format does not allow."""
 
 
-class _Lines(DataSourceReader):
-    """Lines with their numbers. A file is cut into byte ranges; a line belongs to the range its first byte is in."""
+class _Ranges(DataSourceReader):
+    """Lines of byte ranges; a line belongs to the range its first byte is in. Only sizes are read on the driver."""
 
     def __init__(self, paths: list[str], size: int):
         self.paths, self.size = paths, size
@@ -24,28 +26,11 @@ class _Lines(DataSourceReader):
     def partitions(self):
         import os
 
-        parts = []
-        for path in self.paths:
-            total, first = os.path.getsize(path), 0
-            for begin in range(0, max(total, 1), self.size):
-                parts.append(InputPartition((path, begin, min(begin + self.size, total), first)))
-                first += self._starts(path, begin, min(begin + self.size, total))
-        return parts
-
-    @staticmethod
-    def _starts(path: str, begin: int, end: int) -> int:
-        """How many lines start in [begin, end)."""
-        with open(path, "rb") as f:
-            n = int(begin == 0 and end > 0)
-            f.seek(max(0, begin - 1))
-            left = end - max(0, begin - 1) - 1
-            while left > 0 and (block := f.read(min(1 << 20, left))):
-                n += block.count(b"\n")
-                left -= len(block)
-            return n
+        return [InputPartition((path, k, begin, min(begin + self.size, total))) for path in self.paths for total in [os.path.getsize(path)] for k, begin in enumerate(range(0, max(total, 1), self.size))]
 
     def read(self, partition) -> Iterator[tuple]:
-        path, begin, end, number = partition.value
+        path, k, begin, end = partition.value
+        number = 0
         with open(path, "rb") as f:
             if begin:
                 f.seek(begin - 1)
@@ -55,11 +40,12 @@ class _Lines(DataSourceReader):
                 if not line:
                     break
                 number += 1
-                yield path, number, line.decode("utf-8", "replace").rstrip("\r\n")
+                yield path, k, number, line.decode("utf-8", "replace").rstrip("\r\n")
 
 
 class NumberedLines(DataSource):
-    """``spark.read.format("numbered_lines").load(path)``: file, line (from 1) and text of each line of local or mounted files.
+    """``spark.read.format("numbered_lines").load(path)``: file, range, line (from 1 within the range) and text of each line of
+    local or mounted files.
 
     Options: path (several joined by a comma), bytes (size of a range, 64 MiB).
     """
@@ -69,15 +55,20 @@ class NumberedLines(DataSource):
         return "numbered_lines"
 
     def schema(self) -> str:
-        return "file string, line bigint, text string"
+        return "file string, range int, line bigint, text string"
 
     def reader(self, schema):
-        return _Lines([p for p in self.options["path"].split(",") if p], int(self.options.get("bytes", 64 << 20)))
+        return _Ranges([p for p in self.options["path"].split(",") if p], int(self.options.get("bytes", 64 << 20)))
 
 
 def numbered_lines(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """(file, line, text) with lines counted from 1 within each file: tasks count the lines of their ranges, and each range is
+    moved on by those before it."""
     spark.dataSource.register(NumberedLines)
-    return spark.read.format("numbered_lines").option("bytes", range_bytes).load(path)
+    rows = spark.read.format("numbered_lines").option("bytes", range_bytes).load(path)
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("file", "range").agg(F.count("*").alias("__n")).select("file", "range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return rows.join(broadcast_if_small(base), ["file", "range"]).select("file", (F.col("line") + F.col("__base")).alias("line"), "text")
 
 
 def _raw(rows: DataFrame, provider: str, record_type: str, id_field: str, name: str) -> DataFrame:
@@ -105,8 +96,6 @@ def read_jsonl(spark: SparkSession, path: str, provider: str, record_type: str,
 
 def _numbered(lines: DataFrame) -> DataFrame:
     """Rows counted from 0 within each file, in two levels: spans of lines first, then inside a span."""
-    from pyspark.sql import Window
-
     span = F.floor(F.col("line") / 10_000)
     rows = lines.withColumn("__span", span)
     counts = rows.groupBy("file", "__span").agg(F.count("*").alias("__n"))
@@ -116,12 +105,15 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return rows.join(base, ["file", "__span"]).withColumn("row", F.col("__base") + F.row_number().over(inside) - 1).drop("__span", "__base")
 
 
-def read_csv(spark: SparkSession, path: str, provider: str, record_type: str, id_field: str = "id", delimiter: str = ",", strict: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, provider: str, record_type: str, id_field: str = "id", delimiter: str = ",", strict: bool = True, multiline: bool = False) -> DataFrame:
     """Messages of a CSV file with a header: all values are texts, short rows have nulls at their end.
 
     A row wider than the header raises SourceReadError if ``strict``, else loses its surplus. A file without a header
-    raises. Quoted fields don't span lines.
+    raises. ``multiline``: quoted fields may span lines; such a file can't be cut and is read by one task, its rows numbered
+    as they come, so it is for files that one task can read.
     """
+    if multiline:
+        return _read_whole_csv(spark, path, provider, record_type, id_field, delimiter, strict)
     lines = numbered_lines(spark, path).where(F.length(F.trim("text")) > 0)
     head = lines.where("line = 1").select("text").head(1)
     if not head:
@@ -139,6 +131,36 @@ def read_csv(spark: SparkSession, path: str, provider: str, record_type: str, id
     return _raw(_numbered(parsed.withColumn("payload", payload)), provider, record_type, id_field, path)
 
 
+def _read_whole_csv(spark: SparkSession, path: str, provider: str, record_type: str, id_field: str, delimiter: str, strict: bool) -> DataFrame:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import csv
+        import json
+
+        for batch in batches:
+            for file in batch["file"]:
+                with open(file, newline="", encoding="utf-8", errors="replace") as f:
+                    reader = csv.reader(f, delimiter=delimiter)
+                    names = next(reader, None)
+                    if not names or not all(n.strip() for n in names) or len(set(names)) < len(names):
+                        raise SourceReadError(f"{file}: no header, or one with empty or repeated names")
+                    part = []
+                    for values in reader:
+                        if not any(v.strip() for v in values):
+                            continue
+                        if strict and len(values) > len(names):
+                            raise SourceReadError(f"{file}:{reader.line_num}: wider than the header")
+                        filled = dict(zip(names, [*values, *[None] * (len(names) - len(values))]))
+                        part.append((file, reader.line_num, json.dumps(filled, ensure_ascii=False)))
+                        if len(part) >= 10_000:
+                            yield pd.DataFrame(part, columns=["file", "line", "payload"])
+                            part = []
+                    yield pd.DataFrame(part, columns=["file", "line", "payload"])
+
+    files = spark.createDataFrame([(p,) for p in path.split(",") if p], "file string")
+    parsed = files.repartition("file").mapInPandas(rows, "file string, line bigint, payload string")
+    return _raw(_numbered(parsed), provider, record_type, id_field, path)
+
+
 def page(raw: DataFrame, cursor: str | None, size: int = 100, name: str = "file") -> tuple[DataFrame, str | None]:
     """(rows of one batch, cursor of the next or None). The cursor is the number of the first row not yet read."""
     first = int(cursor or 0)
@@ -156,6 +178,12 @@ def batch_checksum(batch: DataFrame) -> DataFrame:
     return parts.select(short_hash(F.concat_ws("|", F.transform("all", lambda x: x["j"]))).alias("checksum"))
 
 
+def health(spark: SparkSession, path: str, name: str = "file") -> DataFrame:
+    """(source, healthy, detail, checked_at) of a file source: one row."""
+    there = healthy(spark, path)
+    return spark.range(1).select(F.lit(name).alias("source"), F.lit(there).alias("healthy"), F.lit(None if there else f"{path} does not exist").cast("string").alias("detail"), F.current_timestamp().alias("checked_at"))
+
+
 def healthy(spark: SparkSession, path: str) -> bool:
     """Whether the path exists in its file system, local or not."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
