@@ -41,15 +41,6 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def fingerprint(ids: Column) -> Column:
-    """Hash of a list of ids: the sorted ids, joined by a bar."""
-    return short_hash(F.concat_ws("|", F.array_sort(ids)))
-
-
-def implied_probability(odds: Column) -> Column:
-    return F.when(odds > 1, 1 / odds)
-
-
 def iso_text(ts: Column) -> Column:
     """UTC instant as text with an explicit +00:00 offset; microseconds only where there are any."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
@@ -57,11 +48,6 @@ def iso_text(ts: Column) -> Column:
     return F.concat(whole, F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(F.lit("")), F.lit("+00:00"))
 
 
-def pair_key(a: Column, b: Column) -> Column:
-    """The same value for (a, b) and (b, a)."""
-    return F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
-
-
 def _fold(text: str | None) -> str | None:
     if text is None:
         return None

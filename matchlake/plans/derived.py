@@ -21,7 +21,7 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     players = max(20, table(spark, sf, "customer").count() // 15)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     a, b = (F.col("l_quantity").cast("int") % 12), (F.col("l_partkey") % 12).cast("int")
-    sets = lines.withColumn("set_number", F.row_number().over(order)).where("set_number <= 7").select("l_orderkey", F.struct("set_number", a.alias("a"), F.when(a == b, b + 1).otherwise(b).alias("b")).alias("s"))
+    sets = lines.withColumn("set_number", F.row_number().over(order)).select("l_orderkey", F.struct("set_number", a.alias("a"), F.when(a == b, b + 1).otherwise(b).alias("b")).alias("s"))
     sets = sets.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("s")).alias("all_sets"))
     key = F.col("o_orderkey")
     pa = F.col("o_custkey") % players
@@ -68,7 +68,7 @@ SQL = f"""
 np as (select greatest(20, count(*) // 15) n from customer),
 st as (select l_orderkey k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) sn,
          l_quantity::int % 12 a, (l_partkey % 12)::int b0 from lineitem),
-sets as (select k, sn, a, case when a = b0 then b0 + 1 else b0 end b from st where sn <= 7),
+sets as (select k, sn, a, case when a = b0 then b0 + 1 else b0 end b from st),
 sa as (select k, count(*) n, sum((a > b)::int) wa, sum((b > a)::int) wb, sum(a) xa, sum(b) xb, arg_min(a > b, sn) fa, arg_max(a > b, sn) la, sum((b > a and b - a <= 2)::int) ka, sum((a > b and a - b <= 2)::int) kb from sets group by k),
 o as (select o_orderkey id, o_custkey % n pa, o_orderpriority competition_id, epoch_us(o_orderdate) + (o_orderkey % 24) * {HOUR_US} sched, 5 + 2 * (o_orderkey % 2) best_of,
   case when o_orderstatus = 'O' and o_orderkey % 5 = 0 then 'scheduled' when o_orderstatus = 'P' and o_orderkey % 7 = 0 then 'cancelled'

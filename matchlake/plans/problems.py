@@ -19,6 +19,8 @@ def p1_kept_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("provider", "record_type").agg(F.count("*").alias("messages"), F.min("fetched_at").cast("timestamp_ntz").alias("first_fetched"))
 
 
+#: When the state of the references was last taken, in p5_current_keys.
+STATE_AT = "2025-01-01 00:00:00+00:00"
 #: The three fields of texts that denote instants: table, row id, field.
 TIME_FIELDS = (("imported_match", "match_row_id", "scheduled_at"), ("imported_match", "match_row_id", "completed_at"), ("imported_odds", "odds_row_id", "captured_at"))
 
@@ -62,9 +64,13 @@ def p5_by_month(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_current_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys that are referred to now and don't exist now, with their count of references."""
+    """Keys that are referred to now and don't exist now, with their count of references; the counts are kept from one
+    change of the tables to the next, here what came before STATE_AT and what came since."""
     made, targets = _references(spark, sf)
-    state = references.apply_deltas(None, references.deltas(made, "refs"), references.deltas(targets, "exists"))
+    changes = [references.deltas(made, "refs"), references.deltas(targets, "exists")]
+    early = F.col("at") < F.lit(STATE_AT).cast("timestamp")
+    state = references.apply_deltas(None, *[c.where(early) for c in changes])
+    state = references.apply_deltas(state, *[c.where(~early) for c in changes])
     return references.orphan_keys(state).select("target", "provider", "key", "refs")
 
 

@@ -7,10 +7,13 @@ twice after a failure changes nothing the second time; the stream's checkpoint r
 
 from __future__ import annotations
 
+import os
+import shutil
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from matchlake.functions.columns import normalised_name
 from matchlake.operators import adapt, identity, ingest, validate
@@ -125,12 +128,43 @@ def import_batch(raw: DataFrame, store: Store, registry: adapt.Registry, now_us:
         raw.unpersist()
 
 
-def import_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, registry: adapt.Registry, now_us: int | None = None, files_per_batch: int = 1) -> list[dict]:
-    """Import what is new in ``folder`` and stop; returns the report of each batch."""
+class CheckpointVersionError(ValueError):
+    """A checkpoint was made by another version of the import."""
+
+
+def _check_version(checkpoint: str, version: str) -> None:
+    """Raise if the checkpoint has another version than ``version``; a new one gets it."""
+    os.makedirs(checkpoint, exist_ok=True)
+    path = f"{checkpoint}/import.version"
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            if (found := f.read().strip()) != version:
+                raise CheckpointVersionError(f"{checkpoint}: version {found}, not {version}")
+    else:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(version)
+
+
+def import_stream(
+    spark: SparkSession, folder: str, store: Store, checkpoint: str, registry: adapt.Registry, now_us: int | None = None, files_per_batch: int = 1, version: str = "1.0.0", every: str | None = None
+) -> list[dict] | StreamingQuery:
+    """Import what is new in ``folder`` and stop; returns the report of each batch. With ``every``, such as "1 minute", it goes
+    on looking for new files that often and returns the running query. ``checkpoint`` is a folder of a local or mounted file
+    system; one of another ``version`` raises."""
+    _check_version(checkpoint, version)
     reports: list[dict] = []
 
     def run(batch: DataFrame, batch_id: int) -> None:
         reports.append({"batch_id": batch_id, "read": batch.count(), "outcomes": import_batch(batch, store, registry, now_us)})
 
-    raw_stream(spark, folder, files_per_batch).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    query = raw_stream(spark, folder, files_per_batch).writeStream.foreachBatch(run).option("checkpointLocation", f"{checkpoint}/stream").trigger(**trigger).start()
+    if every:
+        return query
+    query.awaitTermination()
     return reports
+
+
+def reset(checkpoint: str) -> None:
+    """Forget what was imported; the tables stay, so an import from the start only skips what they have."""
+    shutil.rmtree(checkpoint, ignore_errors=True)

@@ -1,6 +1,8 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
+
 from matchlake.operators import adapt
 from matchlake.plans.imports import mapping
 from matchlake.streaming import imports, pipeline
@@ -57,6 +59,8 @@ def test_sequence_of_two_batches(spark, tmp_path):
     second = run()
     assert second[0]["outcomes"] == {("player", "inserted"): 1, ("player", "quarantined"): 1, ("match", "skipped_idempotent"): 1, ("match", "rejected_conflict"): 1, ("match", "inserted"): 1, ("odds", "inserted"): 1, ("ranking", "inserted"): 1}
     assert run() == []
+    with pytest.raises(pipeline.CheckpointVersionError):
+        pipeline.import_stream(spark, str(folder), store, str(tmp_path / "cp"), registry, version="2.0.0")
     assert store.fingerprint() == "players=3,matches=2,odds=3,rankings=3,competitions=1"
     assert [(r.reason, r.provider_record_id) for r in store["quarantine"].read().collect()] == [("ambiguous_identity", "x4")]
     assert [(r.conflicting_field, r.provider_record_id) for r in store["conflicts"].read().collect()] == [("winner", "m1")]
