@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from matchlake.functions.columns import DAY_US
 
-BLOCK_DAYS = 365
+BLOCK_DAYS = 30
 
 
 def latest(rows: DataFrame, probes: DataFrame, key: Sequence[str], values: Sequence[str], tie: str, inclusive: bool = False, block_days: int = BLOCK_DAYS) -> DataFrame:

@@ -27,15 +27,45 @@ def _letters(names: list[str]) -> np.ndarray:
     return out
 
 
+class _Bounds:
+    """Upper bounds of a name's similarity to many others at once.
+
+    What a similarity counts as equal is a common subsequence, so it can't be longer than the longest one. That is found for
+    all names together, a bit a letter, in one step a letter of the name; for names longer than a word of bits, the common
+    letters are counted instead.
+    """
+
+    def __init__(self, names: list[str]):
+        self.letters, self.sizes = _letters(names), np.array([len(n) for n in names])
+        self.long = self.sizes > 64
+        self.within = np.array([(1 << min(len(n), 64)) - 1 for n in names], dtype=np.uint64)
+        self.masks: dict[str, np.ndarray] = {}
+        for i, name in enumerate(names):
+            for k, c in enumerate(name[:64]):
+                if c not in self.masks:
+                    self.masks[c] = np.zeros(len(names), dtype=np.uint64)
+                self.masks[c][i] |= np.uint64(1 << k)
+
+    def most(self, name: str) -> np.ndarray:
+        v = np.full(len(self.sizes), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for c in name:
+            if (m := self.masks.get(c)) is not None:
+                u = v & m
+                v = (v + u) | (v - u)  # the carry out of the top bit is of no use
+        common = np.bitwise_count(~v & self.within).astype(np.int64)
+        if self.long.any():
+            common = np.where(self.long, np.minimum(self.letters, _letters([name])[0]).sum(axis=1), common)
+        return 2 * common / (self.sizes + len(name))
+
+
 def _best_two(batches: Iterator[pd.DataFrame], block: list[tuple]) -> Iterator[pd.DataFrame]:
     """The best two scores of each candidate.
 
-    A similarity is at most twice the common letters over both lengths, which is one vector operation for the whole block.
-    Names are compared in order of that bound, times the factor of what differs, until it falls below the second best score:
-    no name after that can matter.
+    Names are compared in order of the bound of their similarity, times the factor of what differs, until it falls below the
+    second best score: no name after that can matter.
     """
     flat = [(iid, name, country, born) for iid, names, country, born in block for name in names]
-    table, sizes = _letters([f[1] for f in flat]), np.array([len(f[1]) for f in flat])
+    bounds = _Bounds([f[1] for f in flat])
     lands = np.array([f[2] or "" for f in flat], dtype=object)
     births = np.array([str(f[3]) if f[3] else "" for f in flat], dtype=object)
     for batch in batches:
@@ -45,7 +75,7 @@ def _best_two(batches: Iterator[pd.DataFrame], block: list[tuple]) -> Iterator[p
                 continue
             factor = np.where((lands != (country or "")) & (lands != "") & bool(country), COUNTRY_FACTOR, 1.0)
             factor = factor * np.where((births != str(born)) & (births != "") & bool(born), BIRTH_FACTOR, 1.0)
-            most = 2 * np.minimum(table, _letters([name])[0]).sum(axis=1) / (sizes + len(name)) * factor
+            most = bounds.most(name) * factor
             found: dict[str, float] = {}
             second = 0.0
             for k in np.argsort(-most, kind="stable"):

@@ -21,7 +21,7 @@ from matchlake.operators.perspective import performance
 
 WINDOWS = (5, 10, 20)
 HALF_LIFE_DAYS = 90.0
-BLOCK_DAYS = 365
+BLOCK_DAYS = 30
 #: Origin of the decay weights, which cancels out of every ratio.
 _EPOCH_US = 1_577_836_800_000_000
 

@@ -91,6 +91,28 @@ def test_identities(spark):
     assert {r.outcome for r in identity.resolve(c, spark.createDataFrame([], schema)).collect()} == {"created"}
 
 
+def test_bounds_and_true_margins(spark):
+    import difflib
+    import random
+
+    rng = random.Random(1)
+    names = ["".join(rng.choice("abcd ") for _ in range(rng.choice((0, 3, 8, 30, 63, 64, 65, 90)))) for _ in range(300)]
+    bounds = identity._Bounds(names)
+    for name in names[:40] + ["", "zzz", "abcd" * 60]:
+        most = bounds.most(name) if name else []
+        assert all(difflib.SequenceMatcher(None, name, o).ratio() <= m + 1e-12 for o, m in zip(names, most) if o)
+    schema = "id string, normalized_name string, aliases array<string>, country string, birth_date date, external_ids array<struct<provider:string,provider_player_id:string>>"
+    ids = [("i1", "anna lindqvist", [], None, None, []), ("i2", "hanna lindberg", [], None, None, []), ("i3", "otto", [], None, None, [])]
+    c = spark.createDataFrame([(1, "anna lindqvist", None, None, None, None), (2, "zzz", None, None, None, None), (3, "ott", None, None, None, None)], "candidate_id int, normalized_name string, country string, birth_date date, external_provider string, external_player_id string")
+    for block in (5000, 1):
+        got = {r.candidate_id: r for r in identity.resolve(c, spark.createDataFrame(ids, schema), block).collect()}
+        second = difflib.SequenceMatcher(None, "anna lindqvist", "hanna lindberg").ratio()
+        assert got[1].outcome == "matched" and abs(got[1].margin - (1 - second)) < 1e-12 and got[2].score is None
+        assert got[3].outcome == "created" and abs(got[3].score - 6 / 7) < 1e-12
+    one = identity.resolve(c, spark.createDataFrame(ids[:1], schema)).where("candidate_id = 1").head()
+    assert one.margin == one.score == 1.0
+
+
 def test_splits(spark):
     df = spark.createDataFrame([(i, i // 2, 1) for i in range(10)], "match_id bigint, cutoff_us bigint, label int")
     placed = datasets.positions(df, part_rows=20)

@@ -108,3 +108,18 @@ def test_only_touched_buckets_are_written_and_old_files_go(spark, tmp_path):
     with pytest.raises(DuplicateKeyError):
         t.add(spark.createDataFrame([(5000, "b")], "id bigint, v string"), unique=["v"])
     assert t.count() == 105
+
+
+def test_quoted_fields_over_lines_and_health(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('id,text\n1,"two\nlines, one ""field"""\n\n2\n3,c\n', encoding="utf-8")
+    rows = files.read_csv(spark, str(path), "p", "match", multiline=True).orderBy("row").collect()
+    assert [r.provider_record_id for r in rows] == ["1", "2", "3"] and [r.row for r in rows] == [0, 1, 2]
+    import json
+
+    assert [json.loads(r.payload)["text"] for r in rows] == ['two\nlines, one "field"', None, "c"]
+    path.write_text("id,text\n1,a,b\n", encoding="utf-8")
+    with pytest.raises(Exception, match="wider"):
+        files.read_csv(spark, str(path), "p", "match", multiline=True).collect()
+    assert files.read_csv(spark, str(path), "p", "match", multiline=True, strict=False).count() == 1
+    assert files.health(spark, str(path)).head().healthy and not files.health(spark, str(tmp_path / "none")).head().healthy
