@@ -62,7 +62,8 @@ def pre_match_momentum(history: DataFrame, as_of_us: int, newest: int = 5, half_
 def patterns(history: DataFrame, sample: int = MIN_SAMPLE) -> DataFrame:
     """(player, pattern, value, n, confidence) in long form; a pattern without observations has no row.
 
-    confidence grows to 1 with ``sample`` observations.
+    confidence grows to 1 with ``sample`` observations. A history without close_losses and sets_against has no
+    late_set_collapse.
 
     All ratios come from one aggregation, whose partial sums are made before the shuffle.
     """
@@ -70,10 +71,11 @@ def patterns(history: DataFrame, sample: int = MIN_SAMPLE) -> DataFrame:
     n = lambda cond: F.count_if(cond)
     result, wins, losses = c("won").isNotNull(), c("won") == 1, c("won") == 0
     score = performance(c("won"), c("points_for"), c("points_against"))
+    known = {"close_losses", "sets_against"} <= set(history.columns)
     sums = history.groupBy("player").agg(
         n(c("first_won") == 0).alias("first_lost"), n(c("first_won") == 1).alias("first_won"), n(c("first_won").isNotNull()).alias("first_n"),
         n((c("first_won") == 0) & wins).alias("comebacks"), n((c("first_won") == 0) & result).alias("comeback_n"), n((c("first_won") == 1) & losses).alias("thrown"), n((c("first_won") == 1) & result).alias("thrown_n"),
-        n(c("decider_won") == 1).alias("deciders_won"), n(c("decider_won").isNotNull()).alias("deciders"), n(c("straight") == 1).alias("straight"), n(wins).alias("wins"), F.sum("close_losses").alias("close"), F.sum("sets_against").alias("lost_sets"),
+        n(c("decider_won") == 1).alias("deciders_won"), n(c("decider_won").isNotNull()).alias("deciders"), n(c("straight") == 1).alias("straight"), n(wins).alias("wins"), *[(F.sum(x) if known else F.lit(None).cast("bigint")).alias(n) for x, n in (("close_losses", "close"), ("sets_against", "lost_sets"))],
         F.stddev_pop(F.when(result, score)).alias("spread"), n(result).alias("results"),
     )
     ratios = [

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchlake.session import spread
+
 THRESHOLD, SHORT_EXTRA, SHORT_LENGTH, MARGIN = 0.82, 0.08, 4, 0.05
 COUNTRY_FACTOR, BIRTH_FACTOR, CONFLICT_FLOOR = 0.7, 0.6, 0.3
 BLOCK = 5000
@@ -115,7 +117,7 @@ def resolve(candidates: DataFrame, identities: DataFrame, block: int = BLOCK) ->
     good = F.col("alike") >= CONFLICT_FLOOR
     settled = exact.select("candidate_id", F.when(good, "matched").otherwise("rejected").alias("outcome"), F.when(good, F.col("identity_id")).alias("identity_id"), F.when(good, 1.0).alias("score"), F.lit(None).cast("double").alias("margin"))
 
-    rest = own.where("o is null").select("candidate_id", "normalized_name", "country", "birth_date")
+    rest = spread(own.where("o is null").select("candidate_id", "normalized_name", "country", "birth_date"))
     blocks = max(1, -(-identities.count() // block))
     part = F.pmod(F.xxhash64("id"), F.lit(blocks))
     scored = None

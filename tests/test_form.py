@@ -38,6 +38,8 @@ def test_patterns_have_no_row_without_observations(spark):
     got = {(r.player, r.pattern): (r.value, r.n) for r in form.patterns(h).collect()}
     assert got[("p", "slow_starter")] == (2 / 3, 3) and got[("p", "frequent_comeback")] == (0.5, 2) and got[("p", "straight_sets_tendency")] == (0.5, 2)
     assert ("p", "high_deciding_set_performance") not in got and not [k for k in got if k[0] == "q"]
+    late = {(r.player, r.pattern): (r.value, r.n, r.confidence) for r in form.patterns(h.withColumns({"close_losses": F.when(F.col("player") == "p", 1).otherwise(0), "sets_against": F.when(F.col("player") == "p", 2).otherwise(0)})).collect()}
+    assert late[("p", "late_set_collapse")] == (0.5, 6, 1.0) and ("q", "late_set_collapse") not in late and ("p", "late_set_collapse") not in got
     assert form.repeated_history(history(spark, row(1, 1), row(2, 1), row(3, 1, age=1))).head().repeats == 1
 
 
