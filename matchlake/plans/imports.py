@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchlake.functions.columns import canonical_json, payload_fingerprint
 from matchlake.operators import adapt, duplicates, ingest, timestamps, validate
 from matchlake.plans import problems
-from matchlake.session import table
+from matchlake.session import cut_lineage, table
 
 #: When the import is taken to run, in the queries that ask what is in the future.
 NOW_US = 1_750_000_000_000_000
@@ -93,7 +93,7 @@ def payload_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def instants(spark: SparkSession, sf: str, rows: DataFrame, **fields: str) -> DataFrame:
     """``rows`` with the instants that texts in any form denote; ``fields``: name of the instant, column of the text."""
-    zones = timestamps.source_zones(table(spark, sf, "provider_feed"))
+    zones = cut_lineage(timestamps.source_zones(table(spark, sf, "provider_feed")))  # read for each field
     for out, text in fields.items():
         rows = timestamps.with_instants(rows, text, "provenance.provider", zones, out)
     return rows

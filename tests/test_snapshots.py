@@ -18,7 +18,9 @@ ROWS = [(1, "p", "q", 1, "p", WON, 100), (2, "q", "p", 2, "q", WON, 80), (3, "p"
 
 def test_one_row_a_match_with_all_that_was_known(spark):
     rank = spark.createDataFrame([("p", 5 * DAY_US, 1, 3), ("q", 5 * DAY_US, 2, 9), ("p", 10 * DAY_US, 3, 1)], "player string, at bigint, id bigint, ranking int")
-    got = {r.target_match_id: r for r in snapshots.snapshots(matches(spark, ROWS), rank).collect()}
+    made = snapshots.snapshots(matches(spark, ROWS), rank)
+    inputs = {r.target_match_id: r for r in snapshots.engine_inputs(made).collect()}
+    got = {r.target_match_id: r for r in made.collect()}
     assert set(got) == {1, 2, 3, 4, 5}
     four, a, b, pair, made = got[4], got[4].player_a_features, got[4].player_b_features, got[4].matchup_features, got[4].provenance
     assert (a.observation_count, b.observation_count, pair.meetings) == (3, 2, 2) and [w.window_size for w in a.windows] == [0, 5, 10, 20]
@@ -31,7 +33,6 @@ def test_one_row_a_match_with_all_that_was_known(spark):
     assert got[1].provenance.repository_fingerprint == got[5].provenance.repository_fingerprint != four.provenance.repository_fingerprint
     again = {r.target_match_id: r.provenance.input_fingerprint for r in snapshots.snapshots(matches(spark, ROWS[::-1]), rank).collect()}
     assert again == {k: v.provenance.input_fingerprint for k, v in got.items()} and len(set(again.values())) == 5
-    inputs = {r.target_match_id: r for r in snapshots.engine_inputs(snapshots.snapshots(matches(spark, ROWS), rank)).collect()}
     assert (inputs[4].wins_a, inputs[4].wins_b, inputs[4].last_played_us) == (1, 1, 2 * DAY_US + 3_600_000_000) and (inputs[1].wins_a, inputs[1].wins_b, inputs[1].last_played_us) == (0, 0, None)
 
 
