@@ -80,3 +80,47 @@ def test_quotes(spark):
     assert (got[2].quotes, got[2].movement, got[2].disagreement) == (1, None, None) and got[3].quotes == got[4].quotes == 0
     cut = spark.createDataFrame([(1, 9), (2, 0)], "match_id bigint, cutoff_us bigint")
     assert {r.quote_id for r in quotes.known_quotes(q, cut).collect()} == {10, 11, 12}
+
+
+def _many():
+    rows = [(i, "pqrs"[i % 4], "qrsp"[(i * 7) % 4 if (i * 7) % 4 != (i % 4 + 3) % 4 else i % 4], i // 3, None if i % 11 == 0 else "pqrs"[i % 4] if i % 2 else "qrsp"[(i * 7) % 4 if (i * 7) % 4 != (i % 4 + 3) % 4 else i % 4], (WON, LOST, [])[i % 3], 50 + i % 50) for i in range(90)]
+    return rows + [(900 + i, f"x{i}", "p", 20 + i, f"x{i}", WON, 70) for i in range(5)]
+
+
+def test_players_with_many_rows_get_the_same_as_others(spark, monkeypatch):
+    rank = spark.createDataFrame([("p", 5 * DAY_US, 1, 3), ("q", 5 * DAY_US, 2, 9), ("x3", 10 * DAY_US, 3, 1)], "player string, at bigint, id bigint, ranking int")
+    flat = lambda r: [round(x, 9) if isinstance(x, float) else flat(x) if isinstance(x, (list, tuple)) else x for x in r]
+    found = []
+    for limit in (1_000, 20, 0):  # nobody, the four players with most rows, everybody
+        monkeypatch.setattr(snapshots, "HEAVY", limit)
+        found.append(sorted(map(flat, snapshots.snapshots(matches(spark, _many()), rank).collect())))
+    assert len(found[0]) == 86 and found[0] == found[1] == found[2]
+
+
+def test_only_the_sums_that_are_asked_for_travel(spark):
+    made = snapshots.snapshots(matches(spark, ROWS), of_windows=("win_rate",))
+    window = {r.target_match_id: r for r in made.collect()}[4].player_a_features.windows[0]
+    assert window.asDict() == {"window_size": 0, "win_rate": 2 / 3}
+
+
+def test_numbers_travel_in_the_narrowest_type():
+    import pyarrow as pa
+
+    from matchlake.operators import parts
+
+    n = 20_000
+    rows = pa.table({"small": pa.array([i % 7 for i in range(n)], pa.int64()), "none": pa.array([None] * n, pa.int64()), "wide": pa.array([2**40 + i % 3 for i in range(n)], pa.int64()), "__part": pa.array([i % 2 for i in range(n)], pa.int32())})
+    packs = parts._packs(rows)
+    read = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs["rows"]]
+    assert packs["part"].to_pylist() == [0, 1] and read[0].schema.field("small").type == pa.int8()
+    assert read[1].cast(rows.drop_columns("__part").schema)["wide"].to_pylist() == rows["wide"].to_pylist()[1::2]
+    assert sum(len(x.as_py()) for x in packs["rows"]) < 4 * n  # 24 bytes a row as they are
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    from matchlake.session import written
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    rows = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before and rows.count() == 7
