@@ -94,3 +94,15 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000)]
     got = {r.node: r.label for r in names.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_every_owner_of_a_form_is_scored(spark):
+    """Of three that own a form the middle one gets its share too; names that nobody can own enough of need no pairs."""
+    owners = spark.createDataFrame([(1, "SWE", 10), (1, "SWE", 11), (1, "SWE", 12), (2, "SWE", 11), (3, "SWE", 11), *[(4, "SWE", k) for k in range(20, 60)]], "form bigint, country string, label bigint")
+    seekers = spark.createDataFrame([(f, 1, "SWE", 1) for f in (1, 2, 3)] + [(4, 1, "SWE", 2)], "form bigint, tier int, country string, label bigint")
+    got = {(r.label, r.owner): r.score for r in names.scores(seekers, owners, 100_000).collect()}
+    assert {o for s, o in got if s == 1} == {10, 11, 12} and len(got) == 43
+    assert got[1, 11] > got[1, 10] and abs(got[1, 11] - got[1, 10] - 2 * __import__("math").log(100_000)) < 1e-9
+    more = seekers.unionByName(spark.createDataFrame([(5, 1, "SWE", 1), (6, 1, "SWE", 1), (7, 1, "SWE", 1)], seekers.schema))
+    own = owners.unionByName(spark.createDataFrame([(5, "SWE", 11), (6, "SWE", 11), (7, "SWE", 11)], owners.schema))
+    assert [(r.a, r.b) for r in names._owned(more, own, 100_000).collect()] == [(1, 11)]
