@@ -124,3 +124,12 @@ def test_written_rows_leave_no_shuffle_files(spark):
     before = files()
     rows = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert not files() - before and rows.count() == 7
+
+
+def test_leakage_checks_leave_no_shuffle_to_the_report(spark):
+    """Each check is done with before the next, so their shuffle files are never on disk together."""
+    of = spark.createDataFrame([(1, 10), (2, 20), (2, 20)], "match_id bigint, cutoff_us bigint")
+    known = spark.createDataFrame([(1, "p", 1, 9), (2, "p", 2, 30)], "id bigint, provider string, provider_match_id bigint, at bigint")
+    report = datasets.leakage_report(of, spark.createDataFrame([(2, 1), (1, 2)], "match_id bigint, source_id bigint"), known)
+    assert "Exchange" not in report._jdf.queryExecution().executedPlan().toString()
+    assert {r.check: r.violations for r in report.collect()} == {"no_forbidden_fields": 0, "target_not_in_sources": 0, "sources_before_cutoff": 1, "no_duplicate_examples": 1, "provider_mapping_consistent": 0}
